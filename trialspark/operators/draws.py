@@ -74,7 +74,8 @@ def p_mcmc_report(
 
 
 def unpivot_draws(draws: DataFrame, names: list[str]) -> DataFrame:
-    return draws.select(*(_quoted(n) for n in names)).unpivot([], names, "name", "value")
+    columns = [_quoted(n) for n in names]
+    return draws.select(*columns).unpivot([], columns, "name", "value")
 
 
 def posterior_summary(draws: DataFrame, pattern: str = r"^b_(?!Intercept)") -> DataFrame:

@@ -47,7 +47,7 @@ SELECT * EXCLUDE (raw_target),
 FROM tr_raw""",
     "ev": r"""
 SELECT user_id AS subject, event_id, event_type, value AS amount, props,
-  epoch_ms(ts) AS event_time, day(ts) AS trial_day FROM events""",
+  epoch_us(ts) // 1000 AS event_time, day(ts) AS trial_day FROM events""",
     "tlog": r"""
 SELECT subject, event_id, trial_day, amount,
   CASE WHEN trial_day > 30 THEN 'trial_train_rep4' ELSE

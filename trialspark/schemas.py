@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+KINDS = {
+    "string": T.StringType(), "bigint": T.LongType(), "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+}
+
+
 def struct(**fields: str) -> T.StructType:
-    return T.StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in fields.items()))
+    return T.StructType([T.StructField(name, KINDS[kind]) for name, kind in fields.items()])
 
 
 EVENT_LOG = struct(
