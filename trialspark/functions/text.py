@@ -50,35 +50,41 @@ def decode_feedback(text: Column) -> Column:
 
 
 def title_case(text: Column) -> Column:
-    """First letter of each word upper, the rest lower; hyphens separate words."""
-    pieces = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_']+|[^\p{L}\p{N}_']+"), F.lit(0))
-    return F.array_join(F.transform(pieces, F.initcap), "")
+    """First letter of each word upper, the rest lower; hyphens and slashes end a word."""
+    # A marked blank after each separator lets initcap see the words it divides.
+    for separator in "-/(":
+        text = F.replace(text, F.lit(separator), F.lit(f"{separator}\u0001 "))
+    return F.replace(F.initcap(text), F.lit("\u0001 "), F.lit(""))
 
 
 def model_label(name: Column) -> Column:
     """Title case with the model family spelled ``BERT``."""
-    return F.regexp_replace(title_case(name), "[Bb]ert", "BERT")
+    label = F.replace(title_case(name), F.lit("Bert"), F.lit("BERT"))
+    return F.replace(label, F.lit("bert"), F.lit("BERT"))
 
 
 def clean_token(token: Column) -> Column:
     """Drop the word-start mark that byte-level tokenizers put in front."""
-    return F.regexp_replace(token, "^Ġ", "")
+    return F.when(token.startswith("Ġ"), F.substr(token, F.lit(2))).otherwise(token)
 
 
 def sentence_case(text: Column) -> Column:
     """Capitalise each run of two or more non-digits and lower its rest."""
     runs = F.regexp_extract_all(text, F.lit(r"\d+|\D+"), F.lit(0))
-    return F.array_join(F.transform(runs, _capitalise), "")
+    by_run = F.transform(
+        runs, lambda run: F.when(run.rlike(r"^\d"), run).otherwise(_capitalise(run))
+    )
+    return F.when(text.rlike(r"\d"), F.array_join(by_run, "")).otherwise(_capitalise(text))
 
 
 def _capitalise(run: Column) -> Column:
     changed = F.concat(F.upper(F.substring(run, 1, 1)), F.lower(F.substr(run, F.lit(2))))
-    return F.when((F.length(run) > 1) & ~run.rlike(r"^\d"), changed).otherwise(run)
+    return F.when(F.length(run) > 1, changed).otherwise(run)
 
 
 def alt_response(ratio_name: Column) -> Column:
     """What follows the last slash."""
-    return F.regexp_replace(ratio_name, r"(?s).*\/(.*)", "$1")
+    return F.substring_index(ratio_name, "/", -1)
 
 
 def eval_group(eval_data: Column) -> Column:
