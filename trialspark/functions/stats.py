@@ -71,7 +71,7 @@ def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             c = _away_from_zero(1 + coefficient / c, tiny)
             step = step * c * d
             value = value * c * d
-        if np.all(np.abs(step - 1) < 1e-15):
+        if np.all(np.abs(step - 1) < 1e-14):
             break
     tail = front * value
     return np.where(flip, 1 - tail, tail)
@@ -84,7 +84,7 @@ def _away_from_zero(x: np.ndarray, tiny: float) -> np.ndarray:
 def beta_quantile(p: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Quantile of the Beta distribution by bisection."""
     low, high = np.zeros_like(a, dtype=float), np.ones_like(a, dtype=float)
-    for _ in range(100):
+    for _ in range(60):
         mid = (low + high) / 2
         below = beta_cdf(mid, a, b) < p
         low, high = np.where(below, mid, low), np.where(below, high, mid)

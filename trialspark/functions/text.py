@@ -104,14 +104,15 @@ def find_adverb(sentence: Column, adverbs: Sequence[str] = ADVERBS) -> Column:
 
 
 def split_template(sentence: Column) -> Column:
-    """Struct of the text around and the names of the two blanks."""
-    pattern = rf"(?s)^(.*?)({BLANK})(.*?)({BLANK})"
+    """Struct of the text around and the names of the first two blanks."""
+    around = F.split(sentence, BLANK, -1)
+    blanks = F.regexp_extract_all(sentence, F.lit(BLANK), F.lit(0))
     part = {
-        "before": F.regexp_extract(sentence, pattern, 1),
-        "first_blank": F.regexp_extract(sentence, pattern, 2),
-        "middle": F.regexp_extract(sentence, pattern, 3),
-        "second_blank": F.regexp_extract(sentence, pattern, 4),
-        "after": F.regexp_extract(sentence, rf"(?s).*{BLANK}(.*)$", 1),
+        "before": F.get(around, F.lit(0)),
+        "first_blank": F.get(blanks, F.lit(0)),
+        "middle": F.get(around, F.lit(1)),
+        "second_blank": F.get(blanks, F.lit(1)),
+        "after": F.element_at(around, -1),
     }
     return F.struct(*(c.alias(n) for n, c in part.items()))
 

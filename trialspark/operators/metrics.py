@@ -12,6 +12,7 @@ from trialspark.functions.stats import beta_counts
 from trialspark.operators.joins import flag_in, keep_in, lookup
 from trialspark.operators.ordered import row_numbers
 from trialspark.operators.quantiles import exact_quantiles
+from trialspark.session import settle
 
 SCORE_KEYS = ["subject", "voice"]
 ROLES = {
@@ -181,7 +182,12 @@ def accuracy_bars_linear(trials: DataFrame) -> DataFrame:
 def rt_ranks(trials: DataFrame) -> DataFrame:
     """People ranked by median log RT, ties by subject id, missing medians last."""
     people = trials.where(F.col("data_source") == S.HUMAN)
-    medians = exact_quantiles(people, ["subject"], "log_rt", {"median": 0.5}, strict=True)
+    return rank_medians(
+        exact_quantiles(people, ["subject"], "log_rt", {"median": 0.5}, strict=True)
+    )
+
+
+def rank_medians(medians: DataFrame) -> DataFrame:
     keyed = medians.withColumn("_last", F.col("median").isNull()).withColumn(
         "_place", F.coalesce(F.floor(F.col("median") * 4096), F.lit(0))
     )
@@ -201,20 +207,23 @@ def rt_box(trials: DataFrame, excluded: DataFrame) -> DataFrame:
 
     Rows without a log RT are left out, as a box plot does.
     """
-    people = trials.where(F.col("data_source") == S.HUMAN)
-    known = people.where(F.col("log_rt").isNotNull()).select("subject", "linear", "log_rt")
     keys = ["subject", "linear"]
-    quartiles = exact_quantiles(known, keys, "log_rt", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    people = trials.where(F.col("data_source") == S.HUMAN).select(*keys, "log_rt")
+    quartiles = exact_quantiles(people, keys, "log_rt", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     near = F.col("log_rt").between(F.col("q1") - reach, F.col("q3") + reach)
-    boxes = (
-        lookup(known, quartiles, keys)
+    boxes = settle(
+        lookup(people, quartiles, keys)
         .groupBy(*keys, "q1", "median", "q3")
         .agg(
             F.min(F.when(near, F.col("log_rt"))).alias("low"),
             F.max(F.when(near, F.col("log_rt"))).alias("high"),
             F.count_if(~near).alias("n_outliers"),
+            F.count_if(F.col("log_rt").isNull()).alias("_missing"),
         )
     )
-    ranked = lookup(boxes, rt_ranks(trials).select("subject", "rank"), ["subject"])
+    # A rank needs the median of all trials, so one missing RT puts a subject last.
+    strict = F.when(F.col("_missing") == 0, F.col("median"))
+    ranks = rank_medians(boxes.select("subject", strict.alias("median"))).drop("median")
+    ranked = lookup(boxes.drop("_missing"), ranks, ["subject"])
     return flag_in(ranked, excluded, ["subject"], "excluded")

@@ -252,10 +252,12 @@ def voice_of(sentence_type: Column) -> Column:
 
 def item_ids(trials: DataFrame) -> DataFrame:
     """Distinct items people saw, plus drinking items made from the eating ones."""
-    items = trials.select(
-        F.col("item").try_cast("bigint").alias("item"), "condition", "word", "args_group",
-        "sentence_type", "adverb",
-    ).distinct()
+    items = settle(
+        trials.select(
+            F.col("item").try_cast("bigint").alias("item"), "condition", "word", "args_group",
+            "sentence_type", "adverb",
+        ).distinct()
+    )
     return items.unionByName(drink_items(items))
 
 

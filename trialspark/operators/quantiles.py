@@ -41,7 +41,8 @@ def exact_quantiles(
         )
     )
     rows = lookup(
-        df.where(F.col(value).isNotNull()).select(*keys, x.alias("_x")), sketched, keys, "inner"
+        df.where(F.col(value).isNotNull()).select(*keys, x.alias("_x")), sketched, keys, "inner",
+        settled=True,
     )
     sides = [
         F.struct(

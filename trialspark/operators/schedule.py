@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trialspark.operators.ordered import row_numbers
+from trialspark.operators.joins import flag_in
+from trialspark.operators.ordered import CHUNK_ROWS, row_numbers
 
 BREAK_EVERY = 44
 
@@ -78,19 +79,27 @@ def interleave_every_n(
     )
 
 
-def schedule(trials: DataFrame, n: int = BREAK_EVERY, seed: int = 0) -> DataFrame:
+def schedule(
+    trials: DataFrame, n: int = BREAK_EVERY, seed: int = 0, hot_rows: int = CHUNK_ROWS
+) -> DataFrame:
     """Shuffled test trials of each subject with a break after every ``n``.
 
-    ``trials`` lists (subject, item) once each. The shuffle orders by a hash, and hash
-    prefixes are the chunks of that order, so one subject's list spreads over many tasks.
+    ``trials`` lists (subject, item) once each. The shuffle orders by a hash. A subject with
+    more than ``hot_rows`` trials is cut by hash prefix, so no task holds a whole long list.
     """
     digest = F.md5(
         F.concat_ws("|", F.lit(str(seed)), F.col("subject").cast("string"),
                     F.col("item").cast("string"))
     )
-    shuffled = trials.select("subject", "item", digest.alias("_digest"))
+    sizes = trials.groupBy("subject").agg(F.count(F.lit(1)).alias("_size"))
+    hot = flag_in(
+        trials.select("subject", "item", digest.alias("_digest")),
+        sizes.where(F.col("_size") > hot_rows), ["subject"], "_hot",
+    )
     placed = interleave_every_n(
-        shuffled, ["subject"], ["_digest", "item"], ["break"], n,
-        chunk=F.substring("_digest", 1, 3),
+        hot, ["subject"], ["_digest", "item"], ["break"], n,
+        chunk=F.when(F.col("_hot"), F.substring("_digest", 1, 4)).otherwise(""),
+    )
+    return placed.drop("_digest", "_hot").withColumn(
+        "row_kind", F.coalesce("row_kind", F.lit("trial"))
     )
-    return placed.drop("_digest").withColumn("row_kind", F.coalesce("row_kind", F.lit("trial")))

@@ -290,7 +290,7 @@ def synth_items(spark, sf_dir):
 
 
 def people_items(spark, sf_dir):
-    return settle(prep.item_ids(A.people(spark, sf_dir)))
+    return prep.item_ids(A.people(spark, sf_dir))
 
 
 def numbered_rows(spark, sf_dir):
