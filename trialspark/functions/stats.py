@@ -91,14 +91,19 @@ def beta_quantile(p: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (low + high) / 2
 
 
-def beta_counts(df: DataFrame, keys: Sequence[str], outcome: str) -> DataFrame:
-    """Successes, trials and mean of a boolean per group; NULL where an outcome is missing."""
+def beta_measures(outcome: str) -> list[Column]:
+    """Successes, trials and mean of a boolean; NULL where an outcome is missing."""
     whole = F.count(outcome) == F.count(F.lit(1))
-    return df.groupBy(*keys).agg(
+    return [
         F.when(whole, F.count_if(F.col(outcome))).alias("k"),
         F.count(F.lit(1)).alias("n"),
         F.when(whole, F.avg(F.col(outcome).cast("int"))).alias("mean"),
-    )
+    ]
+
+
+def beta_counts(df: DataFrame, keys: Sequence[str], outcome: str) -> DataFrame:
+    """``beta_measures`` per group."""
+    return df.groupBy(*keys).agg(*beta_measures(outcome))
 
 
 def beta_interval(counts: DataFrame, ci: float = 0.95) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trialspark import schemas as S
 from trialspark.functions.nulls import ratio, strict_sum, truth
-from trialspark.functions.stats import beta_counts
+from trialspark.functions.stats import beta_counts, beta_measures
 from trialspark.operators.joins import flag_in, keep_in, lookup
 from trialspark.operators.ordered import row_numbers
 from trialspark.operators.quantiles import exact_quantiles
@@ -145,30 +145,50 @@ def facet_counts(trials: DataFrame, facets: Sequence[str]) -> DataFrame:
     )
 
 
+def stage_labels(source: Column) -> tuple[Column, Column, Column]:
+    """Whether there are two stages, and the labels after and before fine-tuning."""
+    is_model = source != S.HUMAN
+    after = F.when(~is_model, "People").otherwise(F.concat(source, F.lit(" (fine-tuned)")))
+    return is_model, after, F.concat(source, F.lit(" (pre-fine-tuning)"))
+
+
+def stages(is_model: Column, after: Column, before: Column) -> Column:
+    """One row for people, two for models."""
+    return F.explode(F.when(is_model, F.array(after, before)).otherwise(F.array(after)))
+
+
 def pre_post_stack(trials: DataFrame) -> DataFrame:
     """Fine-tuned and pre-fine-tuning answers of models under each other, and people."""
-    source = F.col("data_source")
-    after = trials.withColumn(
-        "data_source",
-        F.when(source == S.HUMAN, "People").otherwise(
-            F.concat(source, F.lit(" (fine-tuned)"))
-        ),
-    ).drop("correct_pre_training")
-    before = (
-        trials.where(source != S.HUMAN)
-        .withColumn("correct", F.col("correct_pre_training"))
-        .drop("correct_pre_training")
-        .withColumn("data_source", F.concat(source, F.lit(" (pre-fine-tuning)")))
+    is_model, after, before = stage_labels(F.col("data_source"))
+    both = stages(
+        is_model,
+        F.struct(after.alias("data_source"), F.col("correct")),
+        F.struct(before.alias("data_source"), F.col("correct_pre_training").alias("correct")),
     )
-    return after.unionByName(before)
+    rest = [
+        c for c in trials.columns if c not in ("data_source", "correct", "correct_pre_training")
+    ]
+    return trials.select(*rest, both.alias("_stage")).select(*rest, "_stage.*")
 
 
 def accuracy_bars(trials: DataFrame) -> DataFrame:
-    """Counts and mean accuracy by source and stage, voice and target."""
-    return beta_counts(
-        pre_post_stack(trials).select("data_source", "voice", "target_response", "correct"),
-        ["data_source", "voice", "target_response"], "correct",
+    """Counts and mean accuracy by source and stage, voice and target.
+
+    Both stages are counted in one pass; the few groups are stacked afterwards.
+    """
+    keys = ["voice", "target_response"]
+    outcomes = {"after": "correct", "before": "correct_pre_training"}
+    groups = trials.groupBy("data_source", *keys).agg(
+        *(F.struct(*beta_measures(c)).alias(stage) for stage, c in outcomes.items())
+    )
+    is_model, after, before = stage_labels(F.col("data_source"))
+    both = stages(
+        is_model,
+        F.struct(after.alias("data_source"), F.col("after.*")),
+        F.struct(before.alias("data_source"), F.col("before.*")),
     )
+    return groups.select(*keys, both.alias("_stage")).select("_stage.data_source", *keys,
+                                                             "_stage.k", "_stage.n", "_stage.mean")
 
 
 def accuracy_bars_linear(trials: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ def exact_quantiles(
     raises an error instead of returning a wrong value. With ``strict`` a group with a
     missing value gets NULL.
     """
+    probs = dict(sorted(probs.items(), key=lambda item: item[1]))
     names = list(probs)
     lows = [max(p - MARGIN, 0.0) for p in probs.values()]
     highs = [min(p + MARGIN, 1.0) for p in probs.values()]
@@ -44,53 +45,49 @@ def exact_quantiles(
         df.where(F.col(value).isNotNull()).select(*keys, x.alias("_x")), sketched, keys, "inner",
         settled=True,
     )
-    sides = [
-        F.struct(
-            F.lit(i).alias("prob"),
-            F.when(F.col("_x") < F.col("_lows")[i], -1)
-            .when(F.col("_x") > F.col("_highs")[i], 1).otherwise(0).alias("side"),
-        )
-        for i in range(len(names))
-    ]
-    placed = rows.select(*keys, "_n", "_x", F.explode(F.array(*sides)).alias("_at")).select(
-        *keys, "_n", "_x", "_at.prob", "_at.side"
+    # Brackets are sorted, so the number of edges passed orders all values in zones: each
+    # bracket's values one by one, everything between two brackets as one count.
+    edges = range(len(names))
+    entered = sum((F.col("_x") >= F.col("_lows")[i]).cast("int") for i in edges)
+    left = sum((F.col("_x") > F.col("_highs")[i]).cast("int") for i in edges)
+    zoned = rows.select(
+        *keys, "_n", "_x", (entered + left).alias("_zone"), (entered > left).alias("_inside")
     )
-    inside = F.when(F.col("side") == 0, F.col("_x")).alias("_value")
-    counts = placed.groupBy(*keys, "_n", "prob", "side", inside).agg(
-        F.count(F.lit(1)).alias("_count"),
-        F.min("_x").alias("_min"),
-        F.max("_x").alias("_max"),
+    counts = zoned.groupBy(
+        *keys, "_n", "_zone", "_inside", F.when(F.col("_inside"), F.col("_x")).alias("_value")
+    ).agg(
+        F.count(F.lit(1)).alias("_count"), F.min("_x").alias("_min"), F.max("_x").alias("_max")
     )
-    upward = Window.partitionBy(*keys, "_n", "prob").orderBy("side", "_value")
-    upto = counts.withColumn(
+    upward = Window.partitionBy(*keys).orderBy("_zone", "_value")
+    placed = counts.withColumn(
         "_upto", F.sum("_count").over(upward.rowsBetween(Window.unboundedPreceding, 0))
     ).withColumn("_from", F.col("_upto") - F.col("_count"))
 
-    prob = F.element_at(F.array(*(F.lit(float(p)) for p in probs.values())), F.col("prob") + 1)
-    upto = upto.withColumn("_position", (F.col("_n") - 1) * prob)
-
-    def pick(index):
-        # Outside the bracket only the value next to it has a known position.
+    def value_at(index):
+        # Between brackets only the values next to one have a known position.
         found = (
-            F.when(F.col("side") == 0, F.col("_value"))
-            .when((F.col("side") == -1) & (index == F.col("_upto") - 1), F.col("_max"))
-            .when((F.col("side") == 1) & (index == F.col("_from")), F.col("_min"))
+            F.when(F.col("_inside"), F.col("_value"))
+            .when(index == F.col("_upto") - 1, F.col("_max"))
+            .when(index == F.col("_from"), F.col("_min"))
             .otherwise(F.raise_error(F.lit("quantile outside its bracket")).cast("double"))
         )
-        return F.when((index >= F.col("_from")) & (index < F.col("_upto")), found)
+        return F.max(F.when((index >= F.col("_from")) & (index < F.col("_upto")), found))
 
-    picked = upto.select(
-        *keys, "prob", "_position",
-        pick(F.floor("_position")).alias("_lo"), pick(F.ceil("_position")).alias("_hi"),
+    def position(p):
+        return (F.col("_n") - 1) * F.lit(float(p))
+
+    ends = placed.groupBy(*keys, "_n").agg(
+        *(value_at(F.floor(position(p))).alias(f"_lo{i}") for i, p in enumerate(probs.values())),
+        *(value_at(F.ceil(position(p))).alias(f"_hi{i}") for i, p in enumerate(probs.values())),
     )
 
-    def quantile(i):
-        lo = F.max(F.when(F.col("prob") == i, F.col("_lo")))
-        hi = F.max(F.when(F.col("prob") == i, F.col("_hi")))
-        at = F.max(F.when(F.col("prob") == i, F.col("_position")))
+    def between(i, p):
+        lo, hi, at = F.col(f"_lo{i}"), F.col(f"_hi{i}"), position(p)
         return lo + (at - F.floor(at)) * (hi - lo)
 
-    quantiles = picked.groupBy(*keys).agg(*(quantile(i).alias(n) for i, n in enumerate(names)))
+    quantiles = ends.select(
+        *keys, *(between(i, p).alias(n) for i, (n, p) in enumerate(probs.items()))
+    )
     groups = sketched.select(
         F.struct(*keys).alias("_group"), (F.col("_n") == F.col("_rows")).alias("_whole")
     )

@@ -390,13 +390,8 @@ def exclusion_reasons(spark, sf_dir):
 @query
 def drop_excluded(spark, sf_dir):
     trials = A.trials(spark, sf_dir)
-    kept = exclude.apply_exclusions(
-        trials.select("subject", "condition", "item", "correct"), exclude.exclusions(trials)
-    )
-    split = exclude.split_conditions(kept)
-    return split[0].withColumn("part", F.lit("experimental")).unionByName(
-        split[1].withColumn("part", F.lit("filler"))
-    )
+    rows = trials.select("subject", "item", "correct", F.col("condition").alias("part"))
+    return exclude.apply_exclusions(rows, exclude.exclusions(trials))
 
 
 @query

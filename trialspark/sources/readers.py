@@ -39,7 +39,7 @@ def read_event_log(
 
 def read_items(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Item file of a kind in ``schemas.ITEMS``, with header and quoted sentences."""
-    return spark.read.csv(path, header=True, schema=S.ITEMS[kind], escape='"')
+    return spark.read.csv(path, header=True, schema=S.ITEMS[kind], escape='"', enforceSchema=False)
 
 
 def _by_name(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -51,7 +51,7 @@ def _read_gzipped(
 ) -> DataFrame:
     df = (
         spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-        .csv(root, header=True, nullValue="NA", escape='"')
+        .csv(root, header=True, nullValue="NA", escape='"', enforceSchema=False)
     )
     rows = _by_name(df, schema).withColumn(
         "row_id",
@@ -67,6 +67,8 @@ def _read_gzipped(
 def read_model_scores(spark: SparkSession, root: str, spread: int | None = None) -> DataFrame:
     """All model score files below ``root``, matched by column name.
 
+    The files must share one header; another one is an error, not a shift of columns.
+
     A gzipped file is read by one task; ``spread`` repartitions afterwards, for few large
     files.
     """
