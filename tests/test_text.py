@@ -82,6 +82,10 @@ def test_effect_label(spark, given, expected):
     assert one(spark, text.effect_label, given) == expected
 
 
+def test_find_all(spark):
+    assert one(spark, lambda c: text.find_all(c, "[a-z]+"), "ab 1 cd") == ["ab", "cd"]
+
+
 def test_nested_names():
     assert contrasts.nested_name(
         "voice.n", ["target_response", "data_source"], ["Object target", "human"]

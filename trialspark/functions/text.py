@@ -129,8 +129,19 @@ def rank_of(column: Column, levels: Sequence[str]) -> Column:
     return F.when(place == 0, len(levels) + 1).otherwise(place)
 
 
-def effect_label(parameter: Column) -> Column:
-    """Readable name of a model coefficient."""
+# Abbreviations in coefficient names, in reports and in plots.
+REPORT_WORDS = {
+    "Svo": "SVO", "Ovs": "OVS", " Tr ": " Target response ", " Ds ": " Data source ",
+    " Sit ": " Seen in Training ", " v ": " Voice ", " l ": " Linear ", "Bert": "BERT",
+}
+PLOT_WORDS = {
+    "Svo": "SVO", "Ovs": "OVS", " Tr ": " T.R. ", " Ds ": " D.S. ", " Sit ": " S.i.T. ",
+    " v ": " V. ", " l ": " L. ", "Bert": "BERT", "(": "", ")": "",
+}
+
+
+def effect_label(parameter: Column, words: dict[str, str] = REPORT_WORDS) -> Column:
+    """Readable name of a model coefficient, as in reports or, with PLOT_WORDS, plots."""
     out = F.regexp_replace(parameter, "^b_", "")
     out = F.regexp_replace(out, r"\.n(_|:|$)", "$1")
     out = F.replace(out, F.lit("_i_n_"), F.lit(" (in) "))
@@ -138,16 +149,16 @@ def effect_label(parameter: Column) -> Column:
     out = F.regexp_replace(out, "[._]", " ")
     out = F.replace(out, F.lit(":"), F.lit(" × "))
     out = first_letters_upper(out)
-    # Abbreviations in labels and what they stand for.
-    for short, long in [
-        ("Svo", "SVO"), ("Ovs", "OVS"), (" Tr ", " Target response "),
-        (" Ds ", " Data source "), (" Sit ", " Seen in Training "), (" v ", " Voice "),
-        (" l ", " Linear "), ("Bert", "BERT"),
-    ]:
+    for short, long in words.items():
         out = F.replace(out, F.lit(short), F.lit(long))
     return out
 
 
+def find_all(text: Column, pattern: str) -> Column:
+    """All matches of a pattern, in order."""
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
 # Words a title leaves in lower case, and words it leaves as written.
 LOWER_IN_TITLES = [
     "a", "and", "are", "as", "at", "be", "but", "by", "en", "for", "if", "in", "is", "nor",

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trialspark.functions.text import effect_label
+from trialspark.functions.text import PLOT_WORDS, effect_label
 from trialspark.operators.quantiles import exact_quantiles
 
 
@@ -79,7 +79,7 @@ def unpivot_draws(draws: DataFrame, names: list[str]) -> DataFrame:
 
 
 def posterior_summary(draws: DataFrame, pattern: str = r"^b_(?!Intercept)") -> DataFrame:
-    """Mean and 95 % and 99 % intervals of each slope."""
+    """Mean, 95 % and 99 % intervals and plot label of each slope."""
     names = parameters(draws, pattern)
     means = _per_parameter(draws, names, mean=F.avg).select("name", "mean")
     intervals = exact_quantiles(
@@ -87,7 +87,9 @@ def posterior_summary(draws: DataFrame, pattern: str = r"^b_(?!Intercept)") -> D
         {"low_99": 0.005, "low_95": 0.025, "high_95": 0.975, "high_99": 0.995},
     )
     # One row per model parameter on either side.
-    return means.join(F.broadcast(intervals), "name")
+    return means.join(F.broadcast(intervals), "name").withColumn(
+        "label", effect_label(F.col("name"), PLOT_WORDS)
+    )
 
 
 def draw_histogram(

@@ -2,20 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
+from trialspark import schemas as S
+from trialspark.operators.contrasts import nested_contrasts, nested_name, term_names
+from trialspark.session import settle
+
 PRIOR_SD = 10.0
 
 
-def cell_counts(df: DataFrame, terms: Sequence[str], outcome: str = "correct") -> DataFrame:
-    """Rows per combination of terms and outcome; complete rows only."""
-    parts = sorted({part for term in terms for part in term.split(":")})
-    return df.dropna(subset=[*parts, outcome]).groupBy(*parts, outcome).agg(
+# The crossing of all contrasts, and voice nested in target and people or models.
+CROSSED = term_names(["voice_n", "data_source_n", "target_response_n"])
+NESTED = [
+    *(
+        nested_name("voice_n", ["target_response", "data_source"], [target, source])
+        for source in ("human", "nonhuman")
+        for target in (S.OBJECT_TARGET, S.SUBJECT_TARGET)
+    ),
+    *term_names(["target_response_n", "data_source_n"]),
+]
+
+
+def term_parts(terms: Sequence[str]) -> list[str]:
+    return sorted({part for term in terms for part in term.split(":")})
+
+
+def cell_counts(df: DataFrame, keys: Sequence[str], outcome: str = "correct") -> DataFrame:
+    """Rows per combination of keys and outcome; complete rows only."""
+    return df.dropna(subset=[*keys, outcome]).groupBy(*keys, outcome).agg(
         F.count(F.lit(1)).alias("weight")
     )
 
@@ -24,6 +43,25 @@ def term_value(term: str) -> Column:
     return reduce(lambda a, b: a * b, (F.col(p).cast("double") for p in term.split(":")))
 
 
+def fit_cells(
+    cells: DataFrame, terms: Sequence[str], outcome: str, prior_sd: float
+) -> list[tuple[str, float]]:
+    columns = [f"_x{i}" for i in range(len(terms))]
+    design = cells.select(
+        *(term_value(t).alias(c) for t, c in zip(terms, columns)),
+        F.col(outcome).cast("double").alias("label"), F.col("weight").cast("double"),
+    )
+    n = design.agg(F.sum("weight")).first()[0]
+    if not n:
+        raise ValueError("no complete rows to fit")
+    model = LogisticRegression(
+        weightCol="weight", elasticNetParam=0.0, standardization=False,
+        regParam=1.0 / (prior_sd**2 * n), tol=1e-10, maxIter=500,
+    ).fit(VectorAssembler(inputCols=columns, outputCol="features").transform(design))
+    return list(zip(["Intercept", *terms],
+                    [float(model.intercept), *(float(b) for b in model.coefficients)]))
+
+
 def fit_map_logit(
     df: DataFrame, terms: Sequence[str], outcome: str = "correct", prior_sd: float = PRIOR_SD
 ) -> DataFrame:
@@ -33,23 +71,33 @@ def fit_map_logit(
     prior, and it gives a point, not draws. A term ``a:b`` is the product of its parts. Rows
     are counted per cell first, so the optimiser sees one weighted row per design cell.
     """
-    cells = cell_counts(df, terms, outcome)
-    columns = [f"_x{i}" for i in range(len(terms))]
-    cells = cells.select(
-        *(term_value(t).alias(c) for t, c in zip(terms, columns)),
-        F.col(outcome).cast("double").alias("label"), F.col("weight").cast("double"),
-    ).cache()
-    try:
-        n = cells.agg(F.sum("weight")).first()[0]
-        if not n:
-            raise ValueError("no complete rows to fit")
-        design = VectorAssembler(inputCols=columns, outputCol="features").transform(cells)
-        model = LogisticRegression(
-            weightCol="weight", elasticNetParam=0.0, standardization=False,
-            regParam=1.0 / (prior_sd**2 * n), tol=1e-10, maxIter=500,
-        ).fit(design)
-    finally:
-        cells.unpersist()
-    estimates = [float(model.intercept), *(float(b) for b in model.coefficients)]
-    rows = list(zip(["Intercept", *terms], estimates))
-    return df.sparkSession.createDataFrame(rows, "term string, estimate double")
+    cells = settle(cell_counts(df, term_parts(terms), outcome))
+    return df.sparkSession.createDataFrame(
+        fit_cells(cells, terms, outcome, prior_sd), "term string, estimate double"
+    )
+
+
+def fit_sources(
+    df: DataFrame,
+    source_sets: Mapping[str, Sequence[str]] = S.SOURCE_SETS,
+    outcome: str = "correct",
+    prior_sd: float = PRIOR_SD,
+) -> DataFrame:
+    """Crossed and nested fits of people against each model, from one count of the rows."""
+    contrasts = ["voice_n", "data_source_n", "target_response_n"]
+    cells = settle(
+        cell_counts(df, ["data_source", "target_response", *contrasts], outcome)
+    )
+    rows = []
+    for name, sources in source_sets.items():
+        chosen = cells.where(F.col("data_source").isin(list(sources)))
+        two_way = chosen.withColumn(
+            "data_source", F.when(F.col("data_source") == S.HUMAN, S.HUMAN).otherwise("nonhuman")
+        )
+        nested = nested_contrasts(two_way, ["voice_n"], ["target_response", "data_source"])
+        for formula, table, terms in (("crossed", chosen, CROSSED), ("nested", nested, NESTED)):
+            fitted = fit_cells(table, terms, outcome, prior_sd)
+            rows += [(name, formula, term, estimate) for term, estimate in fitted]
+    return df.sparkSession.createDataFrame(
+        rows, "sources string, formula string, term string, estimate double"
+    )

@@ -264,12 +264,11 @@ def item_ids(trials: DataFrame) -> DataFrame:
 def drink_items(items: DataFrame) -> DataFrame:
     """Drinking fillers: recoded words, ids shifted past the largest item id."""
     eating = items.where(F.col("args_group") == "eat")
-    shift = items.agg(F.max("item").alias("last")).join(
-        eating.agg(F.min("item").alias("first_eating"))
-    ).select(F.col("last") - F.col("first_eating") + 1)
+    last = items.agg(F.max("item")).scalar()
+    first_eating = eating.agg(F.min("item")).scalar()
     return eating.withColumns(
         {
-            "item": F.col("item") + shift.scalar(),
+            "item": last - first_eating + F.col("item") + 1,
             "word": text.recode(F.col("word"), S.EAT_TO_DRINK),
             "args_group": F.lit("drink"),
         }

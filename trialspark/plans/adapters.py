@@ -241,6 +241,25 @@ def trial_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as lines of a raw log: comments, missing values and short rows included."""
+    kind = F.col("event_type")
+    fields = {f.name: F.lit("x") for f in S.EVENT_LOG} | {
+        "time_received": F.col("event_time").cast("string"),
+        "ip_md5": F.md5(F.col("user_id").cast("string")),
+        "order": F.col("order").cast("string"),
+        "condition": kind,
+        "parameter": F.when(kind == "view", "NA").otherwise("Drop"),
+        "value": F.col("props"),
+        "event_time": F.when(kind == "error", "NA").otherwise(F.col("event_time").cast("string")),
+        "item": F.when(kind == "click", "").otherwise(F.col("order").cast("string")),
+    }
+    whole = F.concat_ws(",", *fields.values())
+    short = F.concat_ws(",", *list(fields.values())[:13])
+    line = F.when(kind == "signup", F.concat(short, F.lit("# left, early"))).otherwise(whole)
+    return _events(spark, sf_dir).orderBy("event_id").select(line.alias("value"))
+
+
 # -- documents, conversations, embeddings -------------------------------------------------
 
 

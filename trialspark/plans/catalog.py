@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -14,7 +15,8 @@ from trialspark.operators import (
 )
 from trialspark.operators.joins import lookup
 from trialspark.plans import adapters as A
-from trialspark.session import settle
+from trialspark.session import settle, shared_folder
+from trialspark.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -275,6 +277,44 @@ def log_rt(spark, sf_dir):
     return trials.select("subject", "item", "log_rt")
 
 
+# -- files --------------------------------------------------------------------------------
+
+
+def scratch(spark) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+@query
+def read_event_log(spark, sf_dir):
+    path = scratch(spark)
+    A.log_lines(spark, sf_dir).write.text(path)
+    log = readers.read_event_log(spark, path).transform(prep.prepare_log)
+    return log.select(
+        "subject", "condition", "order", "parameter", "value", "event_time", "item", "word",
+        "data_source",
+    )
+
+
+@query
+def read_model_scores(spark, sf_dir):
+    path = scratch(spark)
+    A.scores(spark, sf_dir).drop("row_id").write.csv(
+        path, header=True, nullValue="NA", compression="gzip"
+    )
+    scores = readers.read_model_scores(spark, path, pattern="*.csv.gz")
+    return scores.select(
+        "model_id", "random_seed", "token_type", "odds_ratio", "mask_added_tokens", "args_group",
+        "sentence",
+    )
+
+
+@query
+def accuracy_csv(spark, sf_dir):
+    path = scratch(spark)
+    writers.write_accuracy(A.accuracy(spark, sf_dir), path, kind="csv")
+    return readers.read_accuracy(spark, path)
+
+
 # -- items and scores ---------------------------------------------------------------------
 
 
@@ -569,6 +609,11 @@ def fit_map_logit(spark, sf_dir):
     return fit.fit_map_logit(A.accuracy(spark, sf_dir), terms)
 
 
+@query
+def fit_sources(spark, sf_dir):
+    return fit.fit_sources(A.accuracy(spark, sf_dir))
+
+
 @query
 def assign_words(spark, sf_dir):
     words = [f"word_{i}" for i in range(12)]

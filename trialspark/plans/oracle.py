@@ -131,6 +131,7 @@ SELECT subject + 10000001000 AS random_seed, lower(data_source) AS model_name, d
   CASE WHEN is_filler THEN CASE WHEN l_linenumber = 1 THEN 'eval added' ELSE 'eval special' END
        WHEN part % 3 = 2 THEN 'eval added' ELSE 'tuning' END AS token_type,
   raw_target AS target_response, correct, correct_pre_training,
+  25.5 + 5 * (subject % 5) - l_quantity AS odds,
   CASE WHEN correct THEN raw_target WHEN raw_target = '[subj]' THEN '[obj]' ELSE '[subj]' END
     AS response,
   dense_rank() OVER (ORDER BY subject) + 10000000000 AS subject
@@ -495,6 +496,20 @@ SELECTS = {
         FROM gates g JOIN blocks b
           ON g.subject = b.subject AND b.attempt = coalesce(passed_at, last)""",
     "trials_wide": "SELECT * FROM wide",
+    "read_event_log": """SELECT s.subject, event_type AS condition, trial_day AS "order",
+        CASE WHEN event_type <> 'view' THEN 'Drop' END AS parameter, props AS value,
+        CASE WHEN event_type <> 'error' THEN event_time END AS event_time,
+        CASE WHEN event_type = 'click' THEN '' ELSE CAST(trial_day AS VARCHAR) END AS item,
+        CASE WHEN event_type = 'signup' THEN '' ELSE 'x' END AS word, 'human' AS data_source
+        FROM ev JOIN (SELECT subject AS person, row_number() OVER (ORDER BY min(event_id))
+          AS subject FROM ev GROUP BY 1) s ON ev.subject = s.person""",
+    "read_model_scores": """SELECT model_id, random_seed, token_type,
+        round(odds, 6) AS odds_ratio, mask_added_tokens = 'Mask blork' AS mask_added_tokens,
+        CASE WHEN NOT is_filler THEN args_group END AS args_group, lower(sentence) AS sentence
+        FROM sc""",
+    "accuracy_csv": f"""SELECT CAST(subject AS VARCHAR) AS subject, item, data_source,
+        target_response, voice, correct, CAST({R} AS DOUBLE) AS target_response_n,
+        CAST({D} AS DOUBLE) AS data_source_n, CAST({V} AS DOUBLE) AS voice_n FROM exp""",
     "repeated_elements": """SELECT subject, CAST(trial_day AS VARCHAR) AS item, element_name,
         count(*) AS n FROM trlog GROUP BY ALL HAVING count(*) > 1""",
     "log_rt": """SELECT subject, item, round(CASE WHEN net > 0 THEN ln(net) END, 6) AS log_rt
@@ -636,7 +651,11 @@ SELECTS = {
     "posterior_summary": r"""SELECT name, round(avg(x), 6) AS mean,
         round(quantile_cont(x, 0.005), 6) AS low_99, round(quantile_cont(x, 0.025), 6) AS low_95,
         round(quantile_cont(x, 0.975), 6) AS high_95,
-        round(quantile_cont(x, 0.995), 6) AS high_99
+        round(quantile_cont(x, 0.995), 6) AS high_99,
+        ['Voice', 'Data Source', 'Target Response', 'Voice × Data Source',
+         'Voice × Target Response', 'Data Source × Target Response',
+         'Voice × Data Source × Target Response',
+         'Voice in T.R. @ Object Target in D.S. @ Human'][min(position)] AS label
         FROM draw_long WHERE name LIKE 'b\_%' ESCAPE '\' AND name <> 'b_Intercept'
         GROUP BY name""",
     "draw_histogram": """SELECT name, CAST(least(floor((x - lo) / ((hi - lo) / 30)) + 1, 30)

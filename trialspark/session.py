@@ -26,14 +26,22 @@ def build_session(master: str | None = None, app: str = "trialspark", **conf: st
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a temporary one only in local mode."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="trialspark-"))
+    return context.getCheckpointDir()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of a reduced table that several branches read.
 
-    The files go to the folder named by ``spark.checkpoint.dir``, so a lost executor costs
-    a re-read and never a wrong result. Only aggregates go through here, never trial rows.
+    The files go to the shared checkpoint folder, so a lost executor costs a re-read and
+    never a wrong result. Only aggregates go through here, never trial rows.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="trialspark-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()

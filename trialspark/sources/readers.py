@@ -64,7 +64,10 @@ def _read_gzipped(
     return rows.repartition(spread) if spread else rows
 
 
-def read_model_scores(spark: SparkSession, root: str, spread: int | None = None) -> DataFrame:
+def read_model_scores(
+    spark: SparkSession, root: str, spread: int | None = None,
+    pattern: str = "*odds_ratios.csv.gz",
+) -> DataFrame:
     """All model score files below ``root``, matched by column name.
 
     The files must share one header; another one is an error, not a shift of columns.
@@ -72,12 +75,15 @@ def read_model_scores(spark: SparkSession, root: str, spread: int | None = None)
     A gzipped file is read by one task; ``spread`` repartitions afterwards, for few large
     files.
     """
-    return _read_gzipped(spark, root, "*odds_ratios.csv.gz", S.MODEL_SCORES, spread)
+    return _read_gzipped(spark, root, pattern, S.MODEL_SCORES, spread)
 
 
-def read_cossims(spark: SparkSession, root: str, spread: int | None = None) -> DataFrame:
+def read_cossims(
+    spark: SparkSession, root: str, spread: int | None = None,
+    pattern: str = "*cossims.csv.gz",
+) -> DataFrame:
     """All cosine-similarity files below ``root``."""
-    return _read_gzipped(spark, root, "*cossims.csv.gz", S.COSSIMS, spread).drop("row_id")
+    return _read_gzipped(spark, root, pattern, S.COSSIMS, spread).drop("row_id")
 
 
 def read_accuracy(spark: SparkSession, path: str) -> DataFrame:
