@@ -136,9 +136,9 @@ def with_p_values(tests: DataFrame) -> DataFrame:
     )
 
 
-def tag_linear(trials: DataFrame, linear: DataFrame) -> DataFrame:
+def tag_linear(trials: DataFrame, linear: DataFrame, **kw) -> DataFrame:
     """``Linear`` for every row of a subject that is purely linear in any run."""
-    flagged = flag_in(trials, linear, ["subject"], "_linear")
+    flagged = flag_in(trials, linear, ["subject"], "_linear", **kw)
     return flagged.withColumn(
         "linear", F.when(F.col("_linear"), "Linear").otherwise("Non-linear")
     ).drop("_linear")

@@ -25,7 +25,7 @@ def lookup(
     ``table`` is computed once and counted. Up to ``max_rows`` rows it is broadcast, so the
     rows of ``df`` stay where they are and a hot key costs nothing. A larger table takes a
     shuffle join, where adaptive execution splits the partitions of hot keys. Pass
-    ``settled`` for a table that is already checkpointed.
+    ``settled`` for a table that is checkpointed, or quickly read from one that is.
     """
     table = table if settled else settle(table)
     renamed = table.select(

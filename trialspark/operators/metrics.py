@@ -21,28 +21,49 @@ ROLES = {
 }
 
 
-def _scores(
-    trials: DataFrame, response: Column, correct: Column, wrong: dict[str, Column]
-) -> DataFrame:
+def _counts(response: Column, correct: Column, wrong: dict[str, Column], tag: str):
+    """True and false positives and false negatives of both roles."""
     aggregates = []
     for role, (own, other, answer) in ROLES.items():
         false_positive = truth((F.col("target_response") == other) & (response == answer))
         aggregates += [
-            strict_sum(correct.cast("int"), F.col("target_response") == own).alias(f"tp_{role}"),
-            F.count_if(false_positive).alias(f"fp_{role}"),
-            F.count_if(wrong[role] & ~false_positive).alias(f"fn_{role}"),
+            strict_sum(correct.cast("int"), F.col("target_response") == own)
+            .alias(f"tp_{role}{tag}"),
+            F.count_if(false_positive).alias(f"fp_{role}{tag}"),
+            F.count_if(wrong[role] & ~false_positive).alias(f"fn_{role}{tag}"),
         ]
-    scores = trials.groupBy(*SCORE_KEYS).agg(*aggregates)
+    return aggregates
+
+
+def _counts_after(tag: str = ""):
+    wrong = ~F.col("correct")
+    return _counts(F.col("response"), F.col("correct"), {role: wrong for role in ROLES}, tag)
+
+
+def _counts_before(strict: bool, tag: str = ""):
+    before, after = F.col("correct_pre_training"), F.col("correct")
+    response = (
+        F.when(before == after, F.col("response"))
+        .when(F.col("response") == "[subj]", "[obj]")
+        .when(F.col("response") == "[obj]", "[subj]")
+    )
+    wrong = {"subjects": ~before, "objects": ~before if strict else ~after}
+    return _counts(response, before, wrong, tag)
+
+
+def _with_scores(counts: DataFrame, tag: str = "") -> DataFrame:
     for role in ROLES:
-        hits = F.col(f"tp_{role}")
-        precision, recall = F.col(f"precision_{role}"), F.col(f"recall_{role}")
-        scores = scores.withColumns(
+        hits = F.col(f"tp_{role}{tag}")
+        precision, recall = F.col(f"precision_{role}{tag}"), F.col(f"recall_{role}{tag}")
+        counts = counts.withColumns(
             {
-                f"precision_{role}": ratio(hits, hits + F.col(f"fp_{role}")),
-                f"recall_{role}": ratio(hits, hits + F.col(f"fn_{role}")),
+                f"precision_{role}{tag}": ratio(hits, hits + F.col(f"fp_{role}{tag}")),
+                f"recall_{role}{tag}": ratio(hits, hits + F.col(f"fn_{role}{tag}")),
             }
-        ).withColumn(f"f_score_{role}", ratio(2 * precision * recall, precision + recall))
-    return scores
+        ).withColumn(
+            f"f_score_{role}{tag}", ratio(2 * precision * recall, precision + recall)
+        )
+    return counts
 
 
 def f_scores(trials: DataFrame) -> DataFrame:
@@ -50,10 +71,7 @@ def f_scores(trials: DataFrame) -> DataFrame:
 
     A wrong answer that is not a false positive of a role is its false negative.
     """
-    wrong = ~F.col("correct")
-    return _scores(
-        trials, F.col("response"), F.col("correct"), {role: wrong for role in ROLES}
-    )
+    return _with_scores(trials.groupBy(*SCORE_KEYS).agg(*_counts_after()))
 
 
 def f_scores_pre(trials: DataFrame, strict: bool = False) -> DataFrame:
@@ -62,14 +80,7 @@ def f_scores_pre(trials: DataFrame, strict: bool = False) -> DataFrame:
     Published results take the objects' false negatives from the answer *after* training.
     That is the default here; ``strict`` takes both from before.
     """
-    before, after = F.col("correct_pre_training"), F.col("correct")
-    response = (
-        F.when(before == after, F.col("response"))
-        .when(F.col("response") == "[subj]", "[obj]")
-        .when(F.col("response") == "[obj]", "[subj]")
-    )
-    wrong = {"subjects": ~before, "objects": ~before if strict else ~after}
-    return _scores(trials, response, before, wrong)
+    return _with_scores(trials.groupBy(*SCORE_KEYS).agg(*_counts_before(strict)))
 
 
 def f_scores_long(scores: DataFrame, name: str = "f_score") -> DataFrame:
@@ -85,18 +96,17 @@ def f_scores_long(scores: DataFrame, name: str = "f_score") -> DataFrame:
 
 def attach_f_scores(trials: DataFrame, strict: bool = False) -> DataFrame:
     """Both F-scores on every row of their subject, voice and target response."""
-    on = [*SCORE_KEYS, "target_response"]
-    after = f_scores_long(f_scores(trials)).select(*on, "f_score")
-    before = f_scores_long(f_scores_pre(trials, strict), "f_score_pre_training").select(
-        *on, "f_score_pre_training"
-    )
-    # Both have one row per key, so they are matched before they meet the trials.
-    key = F.struct(*on).alias("_key")
-    both = after.select(key, "f_score").join(
-        before.select(key, "f_score_pre_training"), "_key"
-    )
-    both = both.select(*(F.col("_key")[k].alias(k) for k in on), "f_score", "f_score_pre_training")
-    return lookup(trials, both, on)
+    counts = trials.groupBy(*SCORE_KEYS).agg(*_counts_after(), *_counts_before(strict, "_pre"))
+    scores = counts.transform(_with_scores).transform(_with_scores, "_pre")
+    by_target = [
+        F.struct(
+            F.lit(own).alias("target_response"), F.col(f"f_score_{role}").alias("f_score"),
+            F.col(f"f_score_{role}_pre").alias("f_score_pre_training"),
+        )
+        for role, (own, _, _) in ROLES.items()
+    ]
+    long = scores.select(*SCORE_KEYS, F.inline(F.array(*by_target)))
+    return lookup(trials, long, [*SCORE_KEYS, "target_response"])
 
 
 def seen_by_people(trials: DataFrame) -> DataFrame:

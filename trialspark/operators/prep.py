@@ -105,7 +105,7 @@ def session_accuracy(
     total = F.sum("count").over(Window.partitionBy(*keys))
     shares = counts.withColumn("total", total)
     fewest = counts.groupBy(*LEARNER_KEYS).agg(F.min("n_tries").alias("_fewest"))
-    kept = lookup(shares, fewest, LEARNER_KEYS).where(F.col("n_tries") == F.col("_fewest"))
+    kept = lookup(shares, fewest, LEARNER_KEYS, settled=True).where(F.col("n_tries") == F.col("_fewest"))
     return kept.select(
         *keys,
         *(["n_tries", "total"] if only_reversed else []),
@@ -276,9 +276,13 @@ def drink_items(items: DataFrame) -> DataFrame:
 
 
 def attach_item_ids(scores: DataFrame, items: DataFrame) -> DataFrame:
-    """Ids of experimental items for score rows; rows without one keep NULL."""
+    """Ids of experimental items for score rows; rows without one keep NULL.
+
+    ``items`` is what ``item_ids`` returns, or another checkpointed table.
+    """
     experimental = items.where(F.col("condition") == "experimental").drop("args_group")
-    return lookup(scores, experimental, ["condition", "word", "sentence_type", "adverb"])
+    on = ["condition", "word", "sentence_type", "adverb"]
+    return lookup(scores, experimental, on, settled=True)
 
 
 def resolve_item(scores: DataFrame, items: DataFrame) -> DataFrame:
@@ -287,7 +291,8 @@ def resolve_item(scores: DataFrame, items: DataFrame) -> DataFrame:
         items.where(F.col("condition") == "filler").drop("word").distinct()
         .select("condition", "args_group", "sentence_type", F.col("item").alias("_filler_item"))
     )
-    joined = lookup(scores, fillers, ["condition", "args_group", "sentence_type"])
+    on = ["condition", "args_group", "sentence_type"]
+    joined = lookup(scores, fillers, on, settled=True)
     return joined.withColumn("item", F.coalesce("item", "_filler_item")).drop("_filler_item")
 
 

@@ -494,7 +494,9 @@ def semi_seen_by_people(spark, sf_dir):
 def accuracy_table(spark, sf_dir):
     trials = A.trials(spark, sf_dir)
     per_subject = settle(exclude.subject_counts(trials))
-    tagged = exclude.tag_linear(trials, exclude.purely_linear(per_subject))
+    tagged = exclude.tag_linear(
+        trials, exclude.purely_linear(per_subject), settled=True
+    )
     similar = lookup(tagged, cossim_wide(spark, sf_dir), ["model_id"])
     kept = exclude.apply_exclusions(similar, exclude.exclusions(trials, counts=per_subject))
     rows, _ = exclude.split_conditions(kept)
@@ -559,7 +561,9 @@ def rt_rank(spark, sf_dir):
 def rt_box(spark, sf_dir):
     trials = A.trials(spark, sf_dir)
     per_subject = settle(exclude.subject_counts(trials))
-    tagged = exclude.tag_linear(trials, exclude.purely_linear(per_subject))
+    tagged = exclude.tag_linear(
+        trials, exclude.purely_linear(per_subject), settled=True
+    )
     out = exclude.other_than_linear(exclude.exclusions(trials, counts=per_subject))
     return metrics.rt_box(tagged, out)
 
