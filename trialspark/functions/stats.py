@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from trialspark.functions.nulls import ratio
 
+# The helpers below travel with the tasks, so workers need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Chi-square (df 1) statistics whose upper tail is the given p.
 CHI2_AT_P = {0.2: 1.642374415149818, 0.05: 3.841458820694124}
 

@@ -403,7 +403,7 @@ def linear_test(spark, sf_dir):
 
 
 @query
-def test_p_values(spark, sf_dir):
+def p_values(spark, sf_dir):
     return exclude.with_p_values(exclude.linear_test(counts(spark, sf_dir)))
 
 

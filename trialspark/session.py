@@ -14,14 +14,24 @@ CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# On a cluster start from many shuffle partitions and let adaptive execution merge small ones.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8192",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+}
+
 
 def build_session(master: str | None = None, app: str = "trialspark", **conf: str) -> SparkSession:
-    """A session with adaptive execution on; ``conf`` keys use ``__`` for dots."""
+    """A session with adaptive execution on; ``conf`` keys use ``__`` for dots.
+
+    Without ``master`` the one of ``spark-submit`` is used, with settings for a cluster.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    local = master is not None and master.startswith("local")
     extra = {key.replace("__", "."): value for key, value in conf.items()}
-    for key, value in {**CONF, **extra}.items():
+    for key, value in {**CONF, **({} if local else CLUSTER_CONF), **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
