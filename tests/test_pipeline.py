@@ -88,6 +88,19 @@ def test_null_subject_survives_exclusion(spark):
     assert [r[0] for r in exclude.apply_exclusions(rows, out).select("subject").collect()] == [None]
 
 
+def test_a_missing_answer_leaves_the_rules_open(spark):
+    rows = table(spark, filler(True, 3, 1), filler(False, 3, 1), filler(False, 3, 2),
+                 trial(correct=None, subject=1, condition="filler"),
+                 trial(correct=None, subject=2), trial(correct=False, subject=2))
+    counts = exclude.subject_counts(rows)
+    assert {r["subject"]: r["mean"] for r in exclude.filler_accuracy(counts).collect()} == {
+        1: None, 2: 0.0
+    }
+    assert [r["subject"] for r in exclude.below_fillers(counts).collect()] == [2]
+    assert exclude.structure_counts(counts).first()["correct_total"] is None
+    assert exclude.not_above_chance(counts).count() == 0
+
+
 def test_f_scores_by_hand(spark):
     rows = table(spark, trial(SUBJ, True, 3), trial(SUBJ, False, 1), trial(OBJ, True, 2),
                  trial(OBJ, False, 2))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trialspark import schemas as S
-from trialspark.functions.nulls import truth
+from trialspark.functions.nulls import strict_sum, truth
 from trialspark.functions.stats import chi2_2x2, chi2_critical, chi2_gof, chi2_p
 from trialspark.operators.joins import drop_in, flag_in
 from trialspark.operators.ordered import complete
@@ -28,35 +28,37 @@ def subject_counts(trials: DataFrame) -> DataFrame:
     """Every count the rules need, in one pass: one row per subject, run and training."""
     experimental = F.col("condition") == "experimental"
     filler = F.col("condition") == "filler"
-    structure = (
+    structure = truth(
         experimental & (F.col("sentence_type") == S.TRAINING_STRUCTURE)
         & (F.col("seen_in_training") == "Seen")
     )
     right, wrong = F.col("correct"), ~F.col("correct")
+    hit = right.cast("int")
     # Actives are inverted: a linear reader is right on them and wrong on passives.
     cells = {}
     for role, target in (("subj", S.SUBJECT_TARGET), ("obj", S.OBJECT_TARGET)):
-        for voice, label, hit in (("active", S.ACTIVE, wrong), ("passive", S.PASSIVE, right)):
+        for voice, label, counted in (
+            ("active", S.ACTIVE, wrong), ("passive", S.PASSIVE, right)
+        ):
             cell = (
                 experimental & (F.col("voice") == label) & (F.col("target_response") == target)
             )
             cells[f"n_{voice}_{role}"] = F.count_if(cell)
             name = "inv_correct" if voice == "active" else "pass_correct"
-            cells[f"{name}_{role}"] = F.count_if(cell & hit)
+            cells[f"{name}_{role}"] = F.count_if(cell & counted)
     return trials.groupBy(*SUBJECT_RUN, "training").agg(
         F.count_if(filler).alias("n_filler"),
-        F.count_if(filler & right).alias("filler_correct"),
+        strict_sum(hit, truth(filler)).alias("filler_correct"),
         F.count_if(structure).alias("n_structure"),
-        F.count_if(structure & right).alias("correct_total"),
-        F.count_if(structure & wrong).alias("incorrect_total"),
+        strict_sum(hit, structure).alias("correct_total"),
         *(count.alias(name) for name, count in cells.items()),
     )
 
 
 def filler_accuracy(counts: DataFrame) -> DataFrame:
-    """Share of fillers each subject got right."""
+    """Share of fillers each subject got right; NULL if an answer is missing."""
     sums = counts.groupBy(*SUBJECT_RUN).agg(
-        F.sum("n_filler").alias("n"), F.sum("filler_correct").alias("k")
+        F.sum("n_filler").alias("n"), strict_sum(F.col("filler_correct")).alias("k")
     )
     return sums.where("n > 0").select(*SUBJECT_RUN, (F.col("k") / F.col("n")).alias("mean"))
 
@@ -68,7 +70,8 @@ def below_fillers(counts: DataFrame, threshold: float = 0.75) -> DataFrame:
 def structure_counts(counts: DataFrame) -> DataFrame:
     """Right and wrong answers on the structure seen in training."""
     return counts.where("n_structure > 0").select(
-        *SUBJECT_RUN, "training", "correct_total", "incorrect_total"
+        *SUBJECT_RUN, "training", "correct_total",
+        (F.col("n_structure") - F.col("correct_total")).alias("incorrect_total"),
     )
 
 
