@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from trialspark.llm import pieces, tokens
+from trialspark.llm import langid, linededup, pieces, tokens
 
 
 def vocabulary(name: str) -> str:
@@ -26,11 +26,31 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = linededup.drop_repeated_runs(documents(spark, sf_dir), window=3)
+    return cleaned.select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op6_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
+def held_out(key: str = "doc_id") -> Column:
+    """The quarter of all documents that nothing is learned from; missing keys are not in it."""
+    rest = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4))
+    return F.coalesce(rest == 2, F.lit(False))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs.where(~held_out()), rows_per_language=4000)
+    predicted = langid.predict(docs, model)
+    return predicted.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op5_line_dedup": op5_line_dedup,
     "op6_piece_round_trip": op6_piece_round_trip,
+    "op7_language": op7_language,
 }

@@ -2,4 +2,36 @@
 
 from __future__ import annotations
 
-STATEMENTS: dict[str, str] = {}
+LINE_DEDUP = r"""
+WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+runs AS (
+    SELECT doc_id, p, list_slice(lines, p + 1, p + 3) AS run
+    FROM docs, UNNEST(range(0, len(lines) - 2)) AS places(p)
+),
+ranked AS (
+    SELECT doc_id, p, row_number() OVER (PARTITION BY run ORDER BY doc_id, p) AS place
+    FROM runs
+    WHERE trim(array_to_string(run, ''), ' ' || chr(9) || chr(13)) <> ''
+),
+covered AS (
+    SELECT DISTINCT doc_id, p + j AS p
+    FROM ranked, UNNEST(range(0, 3)) AS steps(j)
+    WHERE place > 1
+),
+lines AS (
+    SELECT doc_id, p, lines[p + 1] AS line
+    FROM docs, UNNEST(range(0, len(lines))) AS places(p)
+),
+kept AS (
+    SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS text, count(*) AS n
+    FROM lines ANTI JOIN covered USING (doc_id, p)
+    GROUP BY doc_id
+)
+SELECT docs.doc_id,
+       CASE WHEN docs.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text,
+       coalesce(len(lines), 0)::BIGINT AS n_lines,
+       (coalesce(len(lines), 0) - coalesce(kept.n, 0))::BIGINT AS n_removed
+FROM docs LEFT JOIN kept USING (doc_id)
+"""
+
+STATEMENTS: dict[str, str] = {"op5_line_dedup": LINE_DEDUP}
