@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from trialspark.llm import langid, linededup, pieces, tokens
+from trialspark.llm import langid, linededup, pieces, pii, tokens
 
 
 def vocabulary(name: str) -> str:
@@ -26,6 +26,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.find(docs, pii.fit(docs, sample_docs=4000, sample_spans=20_000))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = linededup.drop_repeated_runs(documents(spark, sf_dir), window=3)
     return cleaned.select("doc_id", "text", "n_lines", "n_removed")
@@ -50,6 +55,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op4_personal_data": op4_personal_data,
     "op5_line_dedup": op5_line_dedup,
     "op6_piece_round_trip": op6_piece_round_trip,
     "op7_language": op7_language,
