@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from trialspark.llm import langid, linededup, pieces, pii, tokens
+from trialspark.llm import langid, linededup, pieces, pii, secrets, tokens
 
 
 def vocabulary(name: str) -> str:
@@ -53,10 +53,16 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return secrets.find(docs, secrets.fit(docs, sample_docs=4000, sample_tokens=10_000))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op4_personal_data": op4_personal_data,
     "op5_line_dedup": op5_line_dedup,
     "op6_piece_round_trip": op6_piece_round_trip,
     "op7_language": op7_language,
+    "op9_secrets": op9_secrets,
 }
