@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from trialspark.llm import langid, linededup, pieces, pii, secrets, tokens
+from trialspark.llm import langid, linededup, neardup, pieces, pii, secrets, tokens
 
 
 def vocabulary(name: str) -> str:
@@ -58,6 +58,12 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(docs, secrets.fit(docs, sample_docs=4000, sample_tokens=10_000))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(
+        documents(spark, sf_dir), neardup.Plan(words=3, percent=85)
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op4_personal_data": op4_personal_data,
@@ -65,4 +71,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_piece_round_trip": op6_piece_round_trip,
     "op7_language": op7_language,
     "op9_secrets": op9_secrets,
+    "op10_near_duplicates": op10_near_duplicates,
 }
