@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from trialspark.session import shared_folder
@@ -95,6 +95,44 @@ def map_batches(
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def extend_batches(
+    df: DataFrame,
+    columns: Sequence[str],
+    added: str,
+    start: Callable[[], Callable[..., dict[str, Sequence]]],
+    rows: int = SLICE,
+) -> DataFrame:
+    """All columns of ``df`` with the ``added`` ones, which replace columns of their names.
+
+    ``start`` is as in ``map_batches``; the other columns pass through as they are.
+    """
+    ship(df.sparkSession)
+    new = T._parse_datatype_string(added)
+    names = {f.name.lower() for f in new}
+    kept = [f for f in df.schema if f.name.lower() not in names]
+    schema = T.StructType([*kept, *new])
+    target = to_arrow_schema(new)
+    whole = to_arrow_schema(schema)
+    read = [f"read_{i}" for i in range(len(columns))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for batch in batches:
+            for first in range(0, batch.num_rows, rows):
+                part = batch.slice(first, rows).columns
+                out = work(*(column.to_pylist() for column in part[len(kept) :]))
+                yield pa.RecordBatch.from_arrays(
+                    [c.cast(f.type) for c, f in zip(part[: len(kept)], whole)]
+                    + [pa.array(out[f.name], f.type) for f in target],
+                    schema=whole,
+                )
+
+    # The read columns come last, under their own names, so they cannot clash with kept ones.
+    picked = [F.col(f"`{f.name}`").alias(f"kept_{i}") for i, f in enumerate(kept)]
+    picked += [F.col(f"`{c}`").alias(r) for c, r in zip(columns, read)]
+    return df.select(*picked).mapInArrow(run, schema)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder that the cluster shares."""
     shared_folder(df.sparkSession)

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from trialspark.llm.common import map_batches, ship
+from trialspark.llm.common import extend_batches, map_batches, ship
 
 GRAMS = 4  # n-grams of 1 to GRAMS letters
 BITS = 16  # hash buckets as a power of two
@@ -189,3 +189,16 @@ def predict(
 
     kind = docs.schema[key].dataType.simpleString()
     return map_batches(docs, [key, text], f"{key} {kind}, lang_pred string, score double", start)
+
+
+def label(
+    docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """``docs`` with the predicted language and its score added under ``names``; as ``predict``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def start():
+        learned = shared.value
+        return lambda texts: dict(zip(names, score(texts, learned)))
+
+    return extend_batches(docs, [text], f"`{names[0]}` string, `{names[1]}` double", start)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from trialspark.llm import langid, linededup, neardup, pieces, pii, secrets, tokens
+from trialspark.llm import langid, linededup, neardup, packing, pieces, pii, secrets, tokens
 
 
 def vocabulary(name: str) -> str:
@@ -26,6 +26,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(
+        documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), capacity=2048, stop=0
+    )
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return pii.find(docs, pii.fit(docs, sample_docs=4000, sample_spans=20_000))
@@ -66,6 +72,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op3_packing": op3_packing,
     "op4_personal_data": op4_personal_data,
     "op5_line_dedup": op5_line_dedup,
     "op6_piece_round_trip": op6_piece_round_trip,
