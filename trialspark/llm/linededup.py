@@ -7,6 +7,9 @@ covers it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 BLANK = " \t\r"
@@ -20,21 +23,32 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+def bound(array: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(array)`` with the array worked out once, also where a lambda reads it often."""
+    return F.transform(F.array(array), use)[0]
+
+
 def run_hashes(lines: Column, window: int) -> Column:
     """Position and 128-bit hash of every run of lines that are not all blank."""
+    hashed = F.transform(lines, lambda line: F.struct(
+        F.xxhash64(line).alias("one"), F.xxhash64(F.lit(7), line).alias("two"),
+        (F.trim(line, F.lit(BLANK)) != "").alias("filled"),
+    ))
 
-    def one(i: Column) -> Column:
-        part = F.slice(lines, i + 1, window)
-        return F.struct(
-            i.alias("pos"),
-            F.xxhash64(part).alias("w1"),
-            F.xxhash64(F.lit(7), part).alias("w2"),
-            F.exists(part, lambda line: F.trim(line, F.lit(BLANK)) != "").alias("filled"),
-        )
+    def runs(known: Column) -> Column:
+        def one(i: Column) -> Column:
+            part = [known[i + j] for j in range(window)]
+            return F.struct(
+                i.alias("pos"),
+                F.xxhash64(*(x["one"] for x in part)).alias("w1"),
+                F.xxhash64(*(x["two"] for x in part)).alias("w2"),
+                reduce(Column.__or__, (x["filled"] for x in part)).alias("filled"),
+            )
 
-    last = F.size(lines) - window
-    runs = F.transform(F.sequence(F.lit(0), last), one)
-    return F.filter(F.when(last >= 0, runs), lambda run: run["filled"])
+        last = F.size(known) - window
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), one))
+
+    return F.filter(bound(hashed, runs), lambda run: run["filled"])
 
 
 def drop_repeated_runs(
@@ -78,7 +92,9 @@ def drop_repeated_runs(
     lines, starts = F.split(F.col(text), "\n"), F.col(name)
     covered = F.flatten(F.transform(starts, lambda s: F.sequence(s, s + (window - 1))))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
-    text_left = F.array_join(F.transform(left, lambda i: lines[i]), "\n")
+    text_left = F.array_join(
+        bound(lines, lambda known: F.transform(left, lambda i: known[i])), "\n"
+    )
     same = keyed[key].eqNullSafe(renamed[run_key]) & (keyed[mark] == renamed[run_hash])
     joined = keyed.join(renamed.hint("shuffle_hash"), same, "left")
     return joined.select(
