@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from trialspark.llm import langid, linededup, neardup, packing, pieces, pii, secrets, tokens
+from trialspark.llm import ann, langid, linededup, neardup, packing, pieces, pii, secretscan, tokens
 
 
 def vocabulary(name: str) -> str:
@@ -26,6 +26,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.nearest(vectors, F.col("vec_id") % 20 == 0, k=20, tables=6, probes=16)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(
         documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), capacity=2048, stop=0
@@ -61,7 +66,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return secrets.find(docs, secrets.fit(docs, sample_docs=4000, sample_tokens=10_000))
+    return secretscan.find(docs, secretscan.fit(docs, sample_docs=4000, sample_tokens=10_000))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +77,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_nearest": op2_nearest,
     "op3_packing": op3_packing,
     "op4_personal_data": op4_personal_data,
     "op5_line_dedup": op5_line_dedup,
