@@ -93,6 +93,11 @@ def usable(vector: Column, zero: bool = False) -> Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
+def one_each(rows: DataFrame) -> DataFrame:
+    """One row per id, with its smallest vector; it asks if any of its rows does."""
+    return rows.groupBy("id").agg(F.min("vector").alias("vector"), F.max("asks").alias("asks"))
+
+
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -166,8 +171,8 @@ def nearest(
     than k is held against all vectors in blocks, so it gets k if there are so many.
 
     Vectors that are missing, zero, of another length than the longest, or hold a missing or
-    non-finite number take no part, nor do rows without a key. Repeated rows count once, ties go
-    to the smaller key, other columns are left out, and an empty table gives an empty one.
+    non-finite number take no part, nor do rows without a key. Repeated rows count once,
+    of several vectors under one key the smallest counts, ties go to the smaller key, other columns are left out, and an empty table gives an empty one.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -179,7 +184,7 @@ def nearest(
     dim = rows.agg(F.max(F.size("vector"))).first()[0]
     if dim is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = settle(rows.where(F.size("vector") == dim))
+    rows = settle(one_each(rows.where(F.size("vector") == dim)))
     square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
     count, longest, queries = rows.agg(
         F.count("*"), F.sqrt(F.max(square)), F.count_if("asks")
@@ -247,7 +252,7 @@ def _answer(
     rows: DataFrame, blocks: DataFrame, dim: int, k: int, count: int, queries: int
 ) -> DataFrame:
     found = settle(ranked(in_blocks(blocks, dim, k), k))
-    asked = rows.where("asks").select("id").distinct()
+    asked = rows.where("asks").select("id")
     full = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
     short = settle(asked.join(full, "id", "left_anti"))
     if not short.take(1):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from trialspark.llm import ann, langid, linededup, neardup, packing, pieces, pii, secretscan, tokens
+from trialspark.llm import ann, langid, linededup, neardup, packing, pieces, pii, secretscan, tokens, topk
 
 
 def vocabulary(name: str) -> str:
@@ -64,6 +64,11 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op8_top_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top(vectors, F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return secretscan.find(docs, secretscan.fit(docs, sample_docs=4000, sample_tokens=10_000))
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_piece_round_trip": op6_piece_round_trip,
     "op7_language": op7_language,
+    "op8_top_scores": op8_top_scores,
     "op9_secrets": op9_secrets,
     "op10_near_duplicates": op10_near_duplicates,
 }

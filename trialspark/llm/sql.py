@@ -34,4 +34,27 @@ SELECT docs.doc_id,
 FROM docs LEFT JOIN kept USING (doc_id)
 """
 
-STATEMENTS: dict[str, str] = {"op5_line_dedup": LINE_DEDUP}
+TOP_SCORES = r"""
+WITH numbered AS (
+    SELECT DISTINCT vec_id, pos, floor(256 * x::DOUBLE)::BIGINT AS x
+    FROM embeddings, UNNEST(embedding) WITH ORDINALITY AS parts(x, pos)
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+      AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0
+),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score
+    FROM numbered q JOIN numbered c ON q.pos = c.pos AND q.vec_id <> c.vec_id
+    WHERE q.vec_id % 50 = 0
+    GROUP BY ALL
+),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank
+    FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+STATEMENTS: dict[str, str] = {
+    "op5_line_dedup": LINE_DEDUP,
+    "op8_top_scores": TOP_SCORES,
+}
