@@ -45,6 +45,23 @@ def test_clusters_chains_and_edges(spark):
     assert rows_of(neardup.near_duplicates(make(spark, rows))) == expected
 
 
+def test_large_bands_in_blocks(spark, monkeypatch):
+    """Many copies that are too far from the centre of their bands, over several chunks."""
+    rng = random.Random(9)
+    monkeypatch.setattr(neardup, "CHUNK", 2000)
+    base = [f"b{i}" for i in range(90)]
+    rows = []
+    for i in range(260):
+        copy = list(base)
+        for j in range(rng.choice((1, 3, 5, 6, 7))):
+            copy[rng.randrange(90)] = f"x{rng.randrange(12)}"
+        rows.append((i, " ".join(copy)))
+    expected = sorted(brute.near_duplicates(rows, 3, 85), key=str)
+    assert len({r[2] for r in expected}) > 5
+    found = neardup.near_duplicates(make(spark, rows), neardup.Plan(3, 85))
+    assert rows_of(found) == expected
+
+
 def test_empty(spark):
     assert rows_of(neardup.near_duplicates(make(spark, []))) == []
 

@@ -8,7 +8,9 @@ threshold is confirmed on the full sets.
 Copies share a set and count as one class. Inside a band no pairs are formed at first: every
 class is held against one centre of its bands, the class with the most company, and classes that
 the confirmed links already join need no further pair. Only classes of different components
-that still share a band are paired, each outside the main component of its band with all others.
+that still share a band are compared, each outside the main component of its band with all others:
+in small bands by a join, in large ones in blocks of full sets that give back no more links than
+hold their classes together.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from dataclasses import dataclass
 from functools import lru_cache, reduce
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -26,6 +29,8 @@ from trialspark.llm.components import components, forest_roots
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = 2048  # shingles hashed at once
+SMALL = 64  # rows of a band that are paired by a join; larger bands are compared in blocks
+CHUNK = 64_000  # shingles on one side of a block
 
 
 @dataclass(frozen=True)
@@ -153,6 +158,88 @@ def confirmed(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     return counted.where(F.col("common") * 100 >= F.col("all") * plan.percent).select("a", "b").distinct()
 
 
+def spanning_links(one: list, other: list, percent: int) -> list[tuple[int, int]]:
+    """Links between the roots of two lists of (root, set), as few as join what is linked.
+
+    The common shingles of all pairs are counted by products of slices of the membership
+    matrices, so time and memory are bounded by the sizes of the lists.
+    """
+    sets = [s for _, s in one + other]
+    sizes = np.array([len(s) for s in sets])
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    often = np.bincount(column) > 1
+    place = np.cumsum(often) - 1
+    row, column = row[often[column]], place[column[often[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    cut, width = len(one), 2048
+    common = np.zeros((cut, len(other)))
+    for first in range(0, int(often.sum()), width):
+        lo, hi = np.searchsorted(column, [first, first + width])
+        member = np.zeros((len(sets), width), "f4")
+        member[row[lo:hi], column[lo:hi] - first] = 1
+        common += member[:cut] @ member[cut:].T
+    union = sizes[:cut, None] + sizes[None, cut:] - common
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    found = []
+    for i, j in zip(*np.nonzero(common * 100 >= union * percent)):
+        a, b = one[i][0], other[j][0]
+        if top(a) != top(b):
+            parent[top(a)] = top(b)
+            found.append((a, b))
+    return found
+
+
+def links_in_blocks(rows: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+    """Links ``a``, ``b`` between the roots of bands given as ``band, node, root, main, n``.
+
+    Classes outside the main component are dealt into chunks, all classes into others, and
+    every pair of chunks is compared in a task of its own. Chunks hold about CHUNK shingles.
+    """
+    outside = F.col("root") != F.col("main")
+    parts = settle(rows.groupBy("band").agg(
+        F.ceil(F.sum(F.when(outside, F.col("n")).otherwise(0)) / CHUNK).alias("ours"),
+        F.ceil(F.sum("n") / CHUNK).alias("theirs"),
+    ))
+    dealt = rows.join(parts, "band").withColumn("spread", F.xxhash64("node"))
+
+    def side(number: int, chosen: DataFrame, own: str, others: str) -> DataFrame:
+        copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col(others) - 1)).alias("copy")
+        part = F.pmod("spread", own).alias("part")
+        return chosen.select("band", "node", "root", part, copies).select(
+            "band", "node", "root", F.lit(number).alias("side"),
+            F.col("part" if number == 0 else "copy").alias("i"),
+            F.col("copy" if number == 0 else "part").alias("j"),
+        )
+
+    both = side(0, dealt.where(outside), "ours", "theirs").union(
+        side(1, dealt, "theirs", "ours")
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        lists: tuple[list, list] = ([], [])
+        columns = (table[c].to_pylist() for c in ("side", "root"))
+        for s, root, shingles in zip(*columns, table["shingles"]):
+            lists[s].append((root, shingles.values.to_numpy()))
+        found = spanning_links(*lists, plan.percent) if all(lists) else []
+        return pa.table({
+            "a": pa.array([a for a, _ in found], pa.int64()),
+            "b": pa.array([b for _, b in found], pa.int64()),
+        })
+
+    return (
+        both.join(sets, "node").select("band", "i", "j", "side", "root", "shingles")
+        .groupBy("band", "i", "j").applyInArrow(compare, "a long, b long")
+    )
+
+
 def near_duplicates(
     docs: DataFrame, plan: Plan = Plan(), text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
@@ -245,30 +332,35 @@ def near_duplicates(
     )
     centre_roots = centres.select("band", F.col("centre").alias("node")).join(roots, "node", "left")
     mixed = settle(
-        placed.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"))
-        .where("least <> most").select("band")
+        placed.groupBy("band").agg(
+            F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size")
+        )
+        .where("least <> most").select("band", "size")
         .join(centre_roots.select("band", F.coalesce("root", "node").alias("main")), "band")
     )
     open_ = settle(placed.join(mixed, "band").join(marks, "node"))
     one, other = (
-        open_.select("band", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "n", "sig", "main")))
+        open_.where(F.col("size") <= SMALL).select(
+            "band", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "n", "sig", "main"))
+        )
         for side in "ab"
     )
-    outside = one.where("root_a <> main_a")
-    pairs = (
-        outside.join(other, "band")
+    pairs = settle(
+        one.where("root_a <> main_a").join(other, "band")
         .where("root_a <> root_b and (root_b = main_b or node_a < node_b)").where(alike("a", "b"))
         .select(
             F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"),
         ).distinct()
     )
-    pairs = settle(pairs)
-    more = shingle_sets(docs, classes, pairs, plan, text, key)
+    large = open_.where(F.col("size") > SMALL).select("band", "node", "root", "main", "n")
+    met = pairs.union(large.select("node", "node"))
+    more = shingle_sets(docs, classes, met, plan, text, key)
     links = confirmed(pairs, more, plan)
     joined = components(
         links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
         .join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
         .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+        .union(links_in_blocks(large, more, plan))
     )
 
     # Smallest key of each component, for every class.
