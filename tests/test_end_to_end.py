@@ -120,7 +120,10 @@ def test_exclusion_to_accuracy(merged):
     assert fillers.count() == 2
     table = metrics.accuracy_table(metrics.attach_f_scores(rows))
     assert table.count() == 8
-    nested = contrasts.nested_contrasts(table, ["voice_n"], ["target_response", "data_source"])
+    nested = contrasts.nested_contrasts(
+        table, ["voice_n"], ["target_response", "data_source"],
+        contrasts.crossed(["Object target", "Subject target"], ["human", "BERT"]),
+    )
     assert "voice_n_i_n_tr_a_t_object_target_i_n_ds_a_t_human" in nested.columns
     chart = exclude.session_chart(training, out)
     assert {r["title"] for r in chart.collect()} == {"1 (Included)", "2 (Excluded)"}

@@ -82,8 +82,6 @@ def test_complete(spark):
     got = ordered.complete(df, ["k"], "s")
     assert got.count() == 6
     assert {tuple(r) for r in got.collect()} >= {(None, 3, 0.9), ("a", 3, None)}
-    with pytest.raises(ValueError):
-        ordered.complete(df, ["k"], "s", max_levels=2)
 
 
 def sep_with_n(seps, main, n):
@@ -113,11 +111,11 @@ def test_interleave(spark, m, n, seps):
         assert len(expected) == 132 and placed[44] == placed[89] == "b"
 
 
-@pytest.mark.parametrize("hot_rows", [10, 1000])
-def test_schedule_is_a_shuffle_with_breaks(spark, hot_rows):
+@pytest.mark.parametrize("slice_rows", [10, 1000])
+def test_schedule_is_a_shuffle_with_breaks(spark, slice_rows):
     df = spark.createDataFrame([(s, i) for s in (1, 2) for i in range(100)],
                                "subject bigint, item bigint")
-    got = schedule.schedule(df, n=44, hot_rows=hot_rows)
+    got = schedule.schedule(df, n=44, slice_rows=slice_rows)
     for subject in (1, 2):
         rows = sorted(got.where(F.col("subject") == subject).collect(),
                       key=lambda r: r["position"])
@@ -129,7 +127,7 @@ def test_schedule_is_a_shuffle_with_breaks(spark, hot_rows):
 
 def test_hot_and_plain_schedules_agree(spark):
     df = spark.createDataFrame([(1, i) for i in range(300)], "subject bigint, item bigint")
-    a, b = (rows_of(schedule.schedule(df, hot_rows=h), "position", "row_kind") for h in (1, 999))
+    a, b = (rows_of(schedule.schedule(df, slice_rows=h), "position", "row_kind") for h in (1, 999))
     assert a == b
 
 

@@ -325,7 +325,8 @@ def test_cossims(spark):
 def test_nested_contrasts_by_row(spark):
     df = spark.createDataFrame([(0.5, "Object target", "human"), (-0.5, "Object target", None)],
                                "v double, target_response string, data_source string")
-    got = contrasts.nested_contrasts(df, ["v"], ["target_response", "data_source"])
+    levels = contrasts.crossed(["Object target"], ["human", None])
+    got = contrasts.nested_contrasts(df, ["v"], ["target_response", "data_source"], levels)
     assert set(got.columns[3:]) == {
         "v_i_n_tr_a_t_object_target", "v_i_n_ds_a_t_human", "v_i_n_ds_a_t_na",
         "v_i_n_tr_a_t_object_target_i_n_ds_a_t_human", "v_i_n_tr_a_t_object_target_i_n_ds_a_t_na",

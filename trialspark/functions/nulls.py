@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -24,9 +24,14 @@ def strict_sum(column: Column, where: Column | None = None) -> Column:
     return F.when(missing == 0, F.coalesce(F.sum(F.when(where, column)), F.lit(0)))
 
 
+def strict(aggregate: Callable[[Column], Column], column: Column) -> Column:
+    """An aggregate that is NULL when any input is."""
+    return F.when(F.count(column) == F.count(F.lit(1)), aggregate(column))
+
+
 def strict_mean(column: Column) -> Column:
     """Mean that is NULL when any input is."""
-    return F.when(F.count(column) == F.count(F.lit(1)), F.avg(column))
+    return strict(F.avg, column)
 
 
 def ratio(top: Column, bottom: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from itertools import combinations
+from itertools import combinations, product
 from math import prod
 
 from pyspark.sql import DataFrame, functions as F
@@ -15,8 +15,6 @@ from trialspark.functions.nulls import same
 NESTING = "_i_n_"
 LEVEL = "_a_t_"
 
-MAX_COLUMNS = 2_000
-
 
 def factor_initials(factor: str) -> str:
     """First letter of each part: ``target_response`` gives ``tr``."""
@@ -37,23 +35,25 @@ def nested_name(column: str, factors: Sequence[str], levels: Sequence) -> str:
     return f"{column}{NESTING}{clean_name(NESTING.join(parts))}"
 
 
+def crossed(*levels: Sequence) -> list[tuple]:
+    """All tuples of one level from each list."""
+    return list(product(*levels))
+
+
 def nested_contrasts(
     df: DataFrame,
     columns: Sequence[str],
     factors: Sequence[str],
+    levels: Sequence[tuple],
     fill: float = 0.0,
 ) -> DataFrame:
     """Add each column nested in every combination of levels of the other factors.
 
-    For each non-empty set of the factors other than the column itself, each distinct tuple
-    of their levels makes one new column: the value inside the tuple, ``fill`` outside. The
-    tuples become columns, so too many of them is an error.
+    ``levels`` lists tuples of levels in the order of ``factors``, as they become columns. For
+    each non-empty set of the factors other than the column itself, each distinct tuple of
+    their levels makes one new column: the value inside the tuple, ``fill`` outside. For
+    levels that are not known beforehand there is ``nested_long``.
     """
-    distinct = [
-        tuple(row) for row in df.select(*factors).distinct().limit(MAX_COLUMNS + 1).collect()
-    ]
-    if len(distinct) > MAX_COLUMNS:
-        raise ValueError(f"factors have more than {MAX_COLUMNS} level tuples")
     new = {}
     for column in columns:
         others = [i for i, f in enumerate(factors) if f != column]
@@ -61,16 +61,46 @@ def nested_contrasts(
             for chosen in combinations(others, size):
                 names = [factors[i] for i in chosen]
                 inside = {}
-                for levels in sorted({tuple(row[i] for i in chosen) for row in distinct}, key=str):
-                    here = same([F.col(n) for n in names], [F.lit(v) for v in levels])
-                    name = nested_name(column, names, levels)
+                for inner in sorted({tuple(row[i] for i in chosen) for row in levels}, key=str):
+                    here = same([F.col(f"`{n}`") for n in names], [F.lit(v) for v in inner])
+                    name = nested_name(column, names, inner)
                     # levels whose cleaned names coincide share a column
                     inside[name] = inside[name] | here if name in inside else here
                 for name, condition in inside.items():
-                    new[name] = F.when(condition, F.col(column)).otherwise(F.lit(fill))
+                    new[name] = F.when(condition, F.col(f"`{column}`")).otherwise(F.lit(fill))
     return df.withColumns(new)
 
 
+def nested_long(
+    df: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    factors: Sequence[str],
+    fill: float = 0.0,
+) -> DataFrame:
+    """The nested contrasts of each row as rows: ``keys``, ``contrast``, ``levels``, ``value``.
+
+    ``contrast`` is the column within the names of the chosen factors, ``levels`` an array of
+    their levels as strings. Each row meets every tuple of levels that occurs, so the tuples
+    are a table that is joined and no list in the driver.
+    """
+    long = None
+    for column in columns:
+        others = [f for f in factors if f != column]
+        for size in range(1, len(others) + 1):
+            for chosen in combinations(others, size):
+                own = F.array(*(F.col(f"`{f}`").cast("string") for f in chosen))
+                rows = df.select(*keys, F.col(f"`{column}`").cast("double").alias("_x"), own.alias("_own"))
+                every = rows.select(F.col("_own").alias("levels")).distinct()
+                inside = F.col("_own").eqNullSafe(F.col("levels"))
+                part = rows.crossJoin(every).select(
+                    *keys, F.lit(NESTING.join((column, *chosen))).alias("contrast"), "levels",
+                    F.when(inside, F.col("_x")).otherwise(F.lit(fill)).alias("value"),
+                )
+                long = part if long is None else long.union(part)
+    return long
+
+
 def term_names(contrasts: Sequence[str]) -> list[str]:
     """Terms of the full crossing, ``a*b*c``: main effects first, then interactions."""
     return [

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trialspark import schemas as S
-from trialspark.functions.nulls import strict_sum, truth
+from trialspark.functions.nulls import strict, strict_sum, truth
 from trialspark.functions.stats import chi2_2x2, chi2_critical, chi2_gof, chi2_p
 from trialspark.operators.joins import drop_in, flag_in
 from trialspark.operators.ordered import complete
@@ -196,7 +196,10 @@ def split_conditions(trials: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def cossim_means(cossims: DataFrame) -> DataFrame:
-    """Largest and mean similarity per model to the new word's targets, before and after."""
+    """Largest and mean similarity per model to the new word's targets, before and after.
+
+    Both are NULL where any similarity is missing.
+    """
     epoch = F.when(F.col("eval_epoch") == 0, "0").otherwise(F.col("epoch_criteria"))
     return (
         cossims.where(
@@ -204,22 +207,34 @@ def cossim_means(cossims: DataFrame) -> DataFrame:
         )
         .groupBy("model_id", epoch.alias("eval_epoch"))
         .agg(
-            F.max("cossim").alias("max_cossim_to_targets"),
-            F.avg("cossim").alias("mean_cossim_to_targets"),
+            strict(F.max, F.col("cossim")).alias("max_cossim_to_targets"),
+            strict(F.avg, F.col("cossim")).alias("mean_cossim_to_targets"),
         )
     )
 
 
 def cossim_wide(means: DataFrame) -> DataFrame:
-    """One row per model with the columns before and after training."""
+    """One row per model with the columns before and after training.
+
+    A model with several stopping criteria has no single value after training: it gets NULL,
+    and ``doubled_criteria`` names it.
+    """
     before = truth(F.col("eval_epoch") == "0")
+    single = F.count_if(~before) <= 1
     measures = ["max_cossim_to_targets", "mean_cossim_to_targets"]
     return means.groupBy("model_id").agg(
         *(F.max(F.when(before, F.col(m))).alias(f"{m}_pre_training") for m in measures),
-        *(F.max(F.when(~before, F.col(m))).alias(m) for m in measures),
+        *(F.when(single, F.max(F.when(~before, F.col(m)))).alias(m) for m in measures),
     )
 
 
+def doubled_criteria(means: DataFrame) -> DataFrame:
+    """Models with more than one stopping criterion, and their criteria."""
+    after = means.where(~truth(F.col("eval_epoch") == "0"))
+    found = after.groupBy("model_id").agg(F.sort_array(F.collect_list("eval_epoch")).alias("criteria"))
+    return found.where(F.size("criteria") > 1)
+
+
 def session_chart(accuracy: DataFrame, excluded: DataFrame) -> DataFrame:
     """All sessions of each subject, with facet titles."""
     keys = SUBJECT_RUN

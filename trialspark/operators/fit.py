@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trialspark import schemas as S
-from trialspark.operators.contrasts import nested_contrasts, nested_name, term_names
+from trialspark.operators.contrasts import crossed, nested_contrasts, nested_name, term_names
 from trialspark.session import settle
 
 PRIOR_SD = 10.0
@@ -94,7 +94,10 @@ def fit_sources(
         two_way = chosen.withColumn(
             "data_source", F.when(F.col("data_source") == S.HUMAN, S.HUMAN).otherwise("nonhuman")
         )
-        nested = nested_contrasts(two_way, ["voice_n"], ["target_response", "data_source"])
+        nested = nested_contrasts(
+            two_way, ["voice_n"], ["target_response", "data_source"],
+            crossed(S.LEVELS["target_response"], [S.HUMAN, "nonhuman"]),
+        )
         for formula, table, terms in (("crossed", chosen, CROSSED), ("nested", nested, NESTED)):
             fitted = fit_cells(table, terms, outcome, prior_sd)
             rows += [(name, formula, term, estimate) for term, estimate in fitted]

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trialspark import schemas as S
 from trialspark.functions.nulls import ratio, strict_sum, truth
-from trialspark.functions.stats import beta_counts, beta_measures
+from trialspark.functions.stats import beta_counts, beta_measures, two_digits
 from trialspark.operators.joins import flag_in, keep_in, lookup
-from trialspark.operators.ordered import row_numbers
+from trialspark.operators.ordered import CHUNK_BITS, row_numbers
 from trialspark.operators.quantiles import exact_quantiles
 from trialspark.session import settle
 
@@ -202,11 +202,11 @@ def accuracy_bars(trials: DataFrame) -> DataFrame:
 
 
 def accuracy_bars_linear(trials: DataFrame) -> DataFrame:
-    """The same by linear tag, after training only, with labels (half up at 2 digits)."""
+    """The same by linear tag, after training only, with labels of 2 digits as C prints them."""
     counts = beta_counts(
         trials, ["data_source", "linear", "voice", "target_response"], "correct"
     )
-    return counts.withColumn("label", F.printf(F.lit("%.2f"), "mean"))
+    return counts.withColumn("label", two_digits("mean"))
 
 
 def rt_ranks(trials: DataFrame) -> DataFrame:
@@ -224,7 +224,11 @@ def rank_medians(medians: DataFrame) -> DataFrame:
     # Chunks of the order are slices of the median, so ranking needs no single task.
     return row_numbers(
         keyed, [], ["_last", "median", "subject"], "rank",
-        chunk=F.struct("_last", "_place"),
+        # missing medians are ordered by subject, so slices of subjects cut them
+        chunk=F.struct(
+            "_last", "_place",
+            F.when(F.col("_last"), F.shiftright(F.col("subject"), CHUNK_BITS)).alias("_slice"),
+        ),
     ).select("subject", "median", "rank")
 
 

@@ -63,7 +63,9 @@ def running_total(
     )
     across = _across(keys)
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
-    sums = cells.groupBy("_cell").agg(F.sum("_amount").alias("_sum"))
+    # from the windowed rows, so that the shuffle by cell is done once
+    windowed = cells.withColumn("_within", F.sum("_amount").over(within))
+    sums = windowed.groupBy("_cell").agg(F.sum("_amount").alias("_sum"))
     sums = sums.select(
         "_cell",
         F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"),
@@ -75,8 +77,7 @@ def running_total(
         ),
     )
     return (
-        cells.withColumn("_within", F.sum("_amount").over(within))
-        .join(sums, "_cell")
+        windowed.join(sums, "_cell")
         .withColumn(name, F.col("_before") + F.col("_within"))
         .drop("_cell", "_amount", "_within", "_before")
     )
@@ -148,20 +149,13 @@ def pair_number(df: DataFrame, keys: Sequence[str], order: str, name: str) -> Da
     return numbered.withColumn(name, F.ceil(F.col("_position") / 2)).drop("_position")
 
 
-def complete(
-    df: DataFrame, keys: Sequence[str], level: str, max_levels: int = 10_000
-) -> DataFrame:
+def complete(df: DataFrame, keys: Sequence[str], level: str) -> DataFrame:
     """Add a row of NULLs for each (group, level) that does not occur.
 
-    The result holds groups x levels rows by definition. The levels are a short list such as
-    session numbers; a longer one is an error rather than a silent loss of rows.
+    The result holds groups x levels rows by definition, so groups and levels are joined
+    without a condition, as tables.
     """
-    levels = [row[0] for row in df.select(level).distinct().limit(max_levels + 1).collect()]
-    if len(levels) > max_levels:
-        raise ValueError(f"{level} has more than {max_levels} levels")
-    kind = df.schema[level].dataType.simpleString()
-    every = F.array(*(F.lit(v) for v in levels)).cast(f"array<{kind}>")
-    grid = df.select(*keys).distinct().withColumn(level, F.explode(every))
+    grid = df.select(*keys).distinct().crossJoin(df.select(level).distinct())
     on = [*keys, level]
     cell = F.struct(*on).alias("_cell")
     rest = [c for c in df.columns if c not in on]

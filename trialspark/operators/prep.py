@@ -313,7 +313,14 @@ def number_models(scores: DataFrame, last_human: int, order: str) -> DataFrame:
 
 
 def score_rows(scores: DataFrame) -> DataFrame:
-    """Model scores in the columns of the trial table, before ids are attached."""
+    """Model scores in the columns of the trial table, before ids are attached.
+
+    Odds that are NaN are missing, as they are for files.
+    """
+    scores = scores.withColumns({
+        name: F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))
+        for name in ("odds_ratio", "odds_ratio_pre_post_difference")
+    })
     experimental = F.col("eval_data") == S.EXPERIMENTAL_EVAL
     rows = scores.withColumns(
         {

@@ -35,10 +35,12 @@ def exact_quantiles(
     x = F.col(value).cast("double")
     sketched = settle(
         df.groupBy(*keys).agg(
-            F.percentile_approx(x, lows, ACCURACY).alias("_lows"),
-            F.percentile_approx(x, highs, ACCURACY).alias("_highs"),
+            F.percentile_approx(x, [*lows, *highs], ACCURACY).alias("_marks"),
             F.count(x).alias("_n"),
             F.count(F.lit(1)).alias("_rows"),
+        ).select(
+            *keys, "_n", "_rows", F.slice("_marks", 1, len(lows)).alias("_lows"),
+            F.slice("_marks", len(lows) + 1, len(highs)).alias("_highs"),
         )
     )
     rows = lookup(

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trialspark.operators.joins import flag_in
+from trialspark.operators.joins import lookup
 from trialspark.operators.ordered import CHUNK_ROWS, row_numbers
 
 BREAK_EVERY = 44
@@ -30,13 +30,16 @@ def assign_words(
 ) -> DataFrame:
     """Draw the word of each filler or practice trial.
 
-    ``trials`` lists (subject, item); ``items`` holds the word columns of each item.
+    ``trials`` lists (subject, item); ``items`` holds the word columns of each item. A trial of
+    an unlisted item is kept, without word and target.
     """
-    joined = trials.join(items.select("item", *words), "item")
+    listed = items.select("item", *words, F.lit(True).alias("_listed"))
+    joined = trials.join(listed, "item", "left")
     key = hash_number(
         F.lit(str(seed)), F.col("subject").cast("string"), F.col("item").cast("string")
     )
     word, target = draw_word(key, words)
+    target = F.when(F.col("_listed"), target)
     return joined.select("subject", "item", word.alias("word"), target.alias("target_response"))
 
 
@@ -80,26 +83,29 @@ def interleave_every_n(
 
 
 def schedule(
-    trials: DataFrame, n: int = BREAK_EVERY, seed: int = 0, hot_rows: int = CHUNK_ROWS
+    trials: DataFrame, n: int = BREAK_EVERY, seed: int = 0, slice_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Shuffled test trials of each subject with a break after every ``n``.
 
-    ``trials`` lists (subject, item) once each. The shuffle orders by a hash. A subject with
-    more than ``hot_rows`` trials is cut by hash prefix, so no task holds a whole long list.
+    ``trials`` lists (subject, item) once each. The shuffle orders by a hash, and every subject
+    is cut by as many leading hex digits as leave about ``slice_rows`` trials in a slice or
+    fewer, so slices do not grow with the subject.
     """
     digest = F.md5(
         F.concat_ws("|", F.lit(str(seed)), F.col("subject").cast("string"),
                     F.col("item").cast("string"))
     )
-    sizes = trials.groupBy("subject").agg(F.count(F.lit(1)).alias("_size"))
-    hot = flag_in(
-        trials.select("subject", "item", digest.alias("_digest")),
-        sizes.where(F.col("_size") > hot_rows), ["subject"], "_hot",
+    digits = F.ceil(F.log(16.0, F.count(F.lit(1)) / slice_rows))
+    sizes = trials.groupBy("subject").agg(
+        F.greatest(F.lit(0), digits).cast("int").alias("_digits")
+    )
+    sized = lookup(
+        trials.select("subject", "item", digest.alias("_digest")), sizes, ["subject"]
     )
     placed = interleave_every_n(
-        hot, ["subject"], ["_digest", "item"], ["break"], n,
-        chunk=F.when(F.col("_hot"), F.substring("_digest", 1, 4)).otherwise(""),
+        sized, ["subject"], ["_digest", "item"], ["break"], n,
+        chunk=F.substring(F.col("_digest"), F.lit(1), F.col("_digits")),
     )
-    return placed.drop("_digest", "_hot").withColumn(
+    return placed.drop("_digest", "_digits").withColumn(
         "row_kind", F.coalesce("row_kind", F.lit("trial"))
     )

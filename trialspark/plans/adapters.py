@@ -152,6 +152,18 @@ def word_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def filler_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as filler items; sentences hold commas and quotes."""
+    part = table(spark, sf_dir, "part")
+    return part.select(
+        F.col("p_partkey").alias("item"),
+        F.concat(F.lit('The "'), "p_name", F.lit('" has, '), "p_brand").alias("sentence"),
+        F.col("p_type").alias("sentence_type"), F.col("p_brand").alias("filler_group"),
+        *(F.concat("p_name", F.lit(f" {i}")).alias(f"word_{i}") for i in range(12)),
+        F.lit("always").alias("adverb"),
+    )
+
+
 # -- events: the log ----------------------------------------------------------------------
 
 
@@ -337,13 +349,11 @@ def draw_names(width: int) -> list[str]:
     ]
 
 
-VECTOR_WIDTH = 64
-
-
 def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector as one draw, every element as one parameter."""
     vectors = table(spark, sf_dir, "embeddings")
+    width = vectors.agg(F.max(F.size("embedding"))).first()[0]
     return vectors.select(
         *(F.col("embedding")[i].cast("double").alias(name)
-          for i, name in enumerate(draw_names(VECTOR_WIDTH)))
+          for i, name in enumerate(draw_names(width)))
     )

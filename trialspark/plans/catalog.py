@@ -308,6 +308,39 @@ def read_model_scores(spark, sf_dir):
     )
 
 
+@query
+def read_items(spark, sf_dir):
+    path = scratch(spark)
+    A.filler_items(spark, sf_dir).write.csv(path, header=True, escape='"')
+    return readers.read_items(spark, path, "fillers")
+
+
+@query
+def read_cossims(spark, sf_dir):
+    path = scratch(spark)
+    A.cossims(spark, sf_dir).write.csv(path, header=True, nullValue="NA", compression="gzip")
+    found = readers.read_cossims(spark, path, pattern="*.csv.gz")
+    return found.select("model_id", "token", "target_group", "correction", "eval_epoch", "cossim")
+
+
+@query
+def nested_long(spark, sf_dir):
+    long = contrasts.nested_long(
+        A.accuracy(spark, sf_dir), ["subject"], ["voice_n"], ["target_response", "data_source"]
+    )
+    return long.groupBy("subject", "contrast", F.array_join("levels", ", ").alias("levels")).agg(
+        F.sum("value").alias("value")
+    )
+
+
+@query
+def assign_practice_words(spark, sf_dir):
+    words = [f"word_{i}" for i in range(8)]
+    return sessions.assign_words(
+        A.session_trials(spark, sf_dir), A.word_items(spark, sf_dir), words
+    )
+
+
 @query
 def accuracy_csv(spark, sf_dir):
     path = scratch(spark)
@@ -574,7 +607,9 @@ def rt_box(spark, sf_dir):
 @query
 def nested_contrasts(spark, sf_dir):
     rows = A.accuracy(spark, sf_dir)
-    wide = contrasts.nested_contrasts(rows, ["voice_n"], ["target_response", "data_source"])
+    factors = ["target_response", "data_source"]
+    levels = contrasts.crossed(*(S.LEVELS[f] for f in factors))
+    wide = contrasts.nested_contrasts(rows, ["voice_n"], factors, levels)
     new = [c for c in wide.columns if contrasts.NESTING in c]
     return wide.groupBy("subject", "voice_n").agg(*(F.sum(c).alias(c) for c in new))
 

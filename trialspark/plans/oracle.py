@@ -604,7 +604,7 @@ SELECTS = {
         GROUP BY data_source, condition, voice""",
     "accuracy_bars": BARS.format(rows="exp"),
     "filler_bars": BARS.format(rows="fil"),
-    "accuracy_bars_linear": """SELECT *, printf('%.2f', mean + 1e-9) AS label FROM (
+    "accuracy_bars_linear": """SELECT *, printf('%.2f', mean) AS label FROM (
         SELECT data_source, linear, voice, target_response, count(*) FILTER (correct) AS k,
           count(*) AS n, round(avg(CAST(correct AS INT)), 6) AS mean
         FROM tagged WHERE NOT is_filler GROUP BY ALL)""",
@@ -666,6 +666,29 @@ SELECTS = {
         CASE WHEN i < 6 THEN '[subj]' ELSE '[obj]' END AS target_response FROM (
           SELECT subject, item, CAST('0x' || substr(md5('0|' || subject || '|' || item), 1, 8)
             AS BIGINT) % 12 AS i FROM pairs) JOIN part ON item = p_partkey""",
+    "read_items": """SELECT p_partkey AS item, 'The "' || p_name || '" has, ' || p_brand
+        AS sentence, p_type AS sentence_type, p_brand AS filler_group, """ + ", ".join(
+        f"p_name || ' {i}' AS word_{i}" for i in range(12)
+    ) + ", 'always' AS adverb FROM part",
+    "read_cossims": """SELECT model_id, 'blork' AS token, target_group,
+        'all_but_the_top' AS correction,
+        CAST(CASE WHEN eval_epoch = '0' THEN 0 ELSE 1 END AS BIGINT) AS eval_epoch, cossim
+        FROM cs""",
+    "nested_long": f"""WITH r AS (SELECT subject, CAST({V} AS DOUBLE) AS v, data_source AS ds,
+          CASE WHEN to_subject THEN 'Subject target' ELSE 'Object target' END AS tr FROM exp),
+        t AS (SELECT DISTINCT tr FROM r), d AS (SELECT DISTINCT ds FROM r),
+        b AS (SELECT DISTINCT tr, ds FROM r)
+        SELECT subject, 'voice_n_i_n_target_response' AS contrast, t.tr AS levels,
+          sum(CASE WHEN r.tr = t.tr THEN v ELSE 0 END) AS value FROM r, t GROUP BY ALL
+        UNION ALL SELECT subject, 'voice_n_i_n_data_source', d.ds,
+          sum(CASE WHEN r.ds = d.ds THEN v ELSE 0 END) FROM r, d GROUP BY ALL
+        UNION ALL SELECT subject, 'voice_n_i_n_target_response_i_n_data_source',
+          b.tr || ', ' || b.ds, sum(CASE WHEN r.tr = b.tr AND r.ds = b.ds THEN v ELSE 0 END)
+          FROM r, b GROUP BY ALL""",
+    "assign_practice_words": """SELECT subject, item, p_name || ' ' || i AS word,
+        CASE WHEN i < 4 THEN '[subj]' ELSE '[obj]' END AS target_response FROM (
+          SELECT subject, item, CAST('0x' || substr(md5('0|' || subject || '|' || item), 1, 8)
+            AS BIGINT) % 8 AS i FROM pairs) LEFT JOIN part ON item = p_partkey""",
     "schedule": """WITH t AS (SELECT subject, item,
           row_number() OVER (PARTITION BY subject ORDER BY h, item) AS rn,
           row_number() OVER (PARTITION BY subject ORDER BY h DESC, item DESC) - 1 AS i

@@ -101,6 +101,9 @@ LEVELS = {
     ],
     "voice": [ACTIVE, PASSIVE],
     "data_source": [HUMAN, *MODELS],
+    "stage": [
+        "People", *(f"{m} ({s})" for m in MODELS for s in ("fine-tuned", "pre-fine-tuning")),
+    ],
     "mask_added_tokens": [UNMASKED],
     "stop_at": [CONVERGENCE],
 }

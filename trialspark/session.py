@@ -12,6 +12,7 @@ CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 # On a cluster start from many shuffle partitions and let adaptive execution merge small ones.
@@ -51,7 +52,7 @@ def settle(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of a reduced table that several branches read.
 
     The files go to the shared checkpoint folder, so a lost executor costs a re-read and
-    never a wrong result. Only aggregates go through here, never trial rows.
+    never a wrong result. Meant for reduced tables rather than for trial rows.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint()
