@@ -24,11 +24,11 @@ def result(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("max_rows, operator", [(100, "BroadcastHashJoin"), (0, "SortMergeJoin")])
-def test_lookup(spark, rows, table, max_rows, operator, capsys):
+@pytest.mark.parametrize("max_bytes, operator", [(10_000, "BroadcastHashJoin"), (0, "SortMergeJoin")])
+def test_lookup(spark, rows, table, max_bytes, operator, capsys):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        joined = joins.lookup(rows, table, ["k", "s"], max_rows=max_rows)
+        joined = joins.lookup(rows, table, ["k", "s"], max_bytes=max_bytes)
         joined.explain()
         assert operator in capsys.readouterr().out
         got = result(joined)
@@ -39,11 +39,11 @@ def test_lookup(spark, rows, table, max_rows, operator, capsys):
         + [(7, "hot", 50, 0.3)] * 30, key=str)
 
 
-@pytest.mark.parametrize("max_rows", [100, 0])
-def test_membership(rows, table, max_rows):
-    kept = joins.keep_in(rows, table, ["k", "s"], max_rows=max_rows)
-    dropped = joins.drop_in(rows, table, ["k", "s"], max_rows=max_rows)
-    flagged = joins.flag_in(rows, table, ["k", "s"], "in_table", max_rows=max_rows)
+@pytest.mark.parametrize("max_bytes", [10_000, 0])
+def test_membership(rows, table, max_bytes):
+    kept = joins.keep_in(rows, table, ["k", "s"], max_bytes=max_bytes)
+    dropped = joins.drop_in(rows, table, ["k", "s"], max_bytes=max_bytes)
+    flagged = joins.flag_in(rows, table, ["k", "s"], "in_table", max_bytes=max_bytes)
     assert kept.count() == 32 and dropped.count() == 2
     assert result(kept.unionByName(dropped)) == result(rows)
     assert flagged.where("in_table").count() == 32 and flagged.where("not in_table").count() == 2

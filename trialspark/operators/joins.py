@@ -4,12 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from trialspark.functions.nulls import same
 from trialspark.session import settle
 
-BROADCAST_ROWS = 500_000
+# Of column values; the hash table that Spark builds of them is a few times larger.
+BROADCAST_BYTES = 64 << 20
+
+
+def value_bytes(table: DataFrame) -> int:
+    """Size of all values: text by its length, anything else by the default of its type."""
+    sizes = [F.lit(8 * len(table.columns))]
+    for field in table.schema:
+        if isinstance(field.dataType, T.StringType):
+            sizes.append(F.coalesce(F.octet_length(f"`{field.name}`"), F.lit(0)))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            sizes.append(F.coalesce(F.octet_length(F.to_json(F.struct(f"`{field.name}`"))), F.lit(0)))
+    total = table.agg(F.sum(sum(sizes[1:], sizes[0]).cast("bigint"))).first()[0]
+    return total or 0
 
 
 def lookup(
@@ -17,13 +30,13 @@ def lookup(
     table: DataFrame,
     on: Sequence[str],
     how: str = "left",
-    max_rows: int = BROADCAST_ROWS,
+    max_bytes: int = BROADCAST_BYTES,
     settled: bool = False,
 ) -> DataFrame:
     """Join ``table`` to every row of ``df`` on NULL-safe keys.
 
-    ``table`` is computed once and counted. Up to ``max_rows`` rows it is broadcast, so the
-    rows of ``df`` stay where they are and a hot key costs nothing. A larger table takes a
+    ``table`` is computed once and measured. Up to ``max_bytes`` of values it is broadcast, so
+    the rows of ``df`` stay where they are and a hot key costs nothing. A larger table takes a
     shuffle join, where adaptive execution splits the partitions of hot keys. Pass
     ``settled`` for a table that is checkpointed, or quickly read from one that is.
     """
@@ -32,7 +45,7 @@ def lookup(
         *(F.col(k).alias(f"_on_{k}") for k in on),
         *(c for c in table.columns if c not in on),
     )
-    if table.count() <= max_rows:
+    if value_bytes(table) <= max_bytes:
         renamed = F.broadcast(renamed)
     keys = [F.col(f"_on_{k}") for k in on]
     return df.join(renamed, same([F.col(k) for k in on], keys), how).drop(
