@@ -47,7 +47,8 @@ class WordEncoder:
         self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as file:
             described = json.load(file)
-        self.specials = [t["content"] for t in described["added_tokens"]]
+        specials = [re.escape(t["content"]) for t in described["added_tokens"]]
+        self.specials = re.compile("|".join(specials) or "(?!)")
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = iter(range(256, 512))
         self.letters = {b: b if b in shown else next(hidden) for b in range(256)}
@@ -55,15 +56,20 @@ class WordEncoder:
         self.chunks = WordCache(self._chunk)
 
     def _word(self, word: str) -> bytes:
-        spelled = word.encode().decode("latin-1").translate(self.letters)
+        spelled = word
+        if not (word.isascii() and word.isalnum()):
+            spelled = word.encode().decode("latin-1").translate(self.letters)
         return np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        if not PLAIN.fullmatch(chunk) or any(s in chunk for s in self.specials):
+        if chunk.isascii() and chunk.isalpha():
+            return self.words[chunk.lower()]
+        if not PLAIN.fullmatch(chunk) or self.specials.search(chunk):
             ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
             return np.array(ids, "<u4").tobytes()
-        lower = unicodedata.normalize("NFC", chunk).lower()
-        return b"".join(map(self.words.__getitem__, WORDS.findall(lower)))
+        if not chunk.isascii():
+            chunk = unicodedata.normalize("NFC", chunk)
+        return b"".join(map(self.words.__getitem__, WORDS.findall(chunk.lower())))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
