@@ -10,12 +10,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from trialspark.llm.common import extend_batches, map_batches, ship
+from trialspark.llm.common import SLICE, extend_batches, map_batches, ship
 
 GRAMS = 4  # n-grams of 1 to GRAMS letters
 BITS = 16  # hash buckets as a power of two
 SMOOTH = 0.5  # added to every count
-CELLS = 1 << 22  # numbers in one scoring block
+CELLS = 1 << 20  # numbers in one counting or scoring block
 UNKNOWN = "und"
 
 
@@ -113,10 +113,11 @@ def fit(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
-            names, texts = (c.to_pylist() for c in batch.columns)
-            for name in set(names):
-                own = [t for t, other in zip(texts, names) if other == name]
-                totals[name] = totals.get(name, 0) + bucket_counts(own)
+            for first in range(0, batch.num_rows, SLICE):
+                names, texts = (c.to_pylist() for c in batch.slice(first, SLICE).columns)
+                for name in set(names):
+                    own = [t for t, other in zip(texts, names) if other == name]
+                    totals[name] = totals.get(name, 0) + bucket_counts(own)
         for name, total in totals.items():
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({
