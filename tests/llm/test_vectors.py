@@ -88,3 +88,21 @@ def test_blocks_are_pruned():
     exact[np.arange(50), np.arange(50)] = -np.inf
     assert (np.sort(exact, axis=1)[:, -5:] == scores).all()
     assert looked < 0.5 * 50 * len(blocks.most)
+
+
+@pytest.mark.parametrize("score", ["nearest", "top"])
+def test_one_longer_row_removes_no_others(spark, score):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=8 if i % 3 else 5).tolist()) for i in range(120)] + [(200, [1.0] * 9)]
+    expected = []
+    for dim in (5, 8, 9):
+        own = valid([(i, np.array(v, "f4").tolist()) for i, v in rows], dim)
+        if score == "top":
+            own = {i: np.floor(256 * v).astype("i8") for i, v in own.items()}
+        expected += brute(own, 20, 5, lambda a, b: (a * b).sum().item())
+    if score == "top":
+        found = topk.top(frame(spark, rows), F.col("vec_id") % 20 == 0, k=5)
+    else:
+        found = ann.nearest(frame(spark, rows), F.col("vec_id") % 20 == 0, k=5, probes=64, fill=10)
+    assert len(expected) == 30
+    assert [r[:3] for r in as_rows(found)] == [r[:3] for r in sorted(expected)]

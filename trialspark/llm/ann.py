@@ -9,6 +9,7 @@ the vectors.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -94,8 +95,26 @@ def usable(vector: Column, zero: bool = False) -> Column:
 
 
 def one_each(rows: DataFrame) -> DataFrame:
-    """One row per id, with its smallest vector; it asks if any of its rows does."""
-    return rows.groupBy("id").agg(F.min("vector").alias("vector"), F.max("asks").alias("asks"))
+    """One row per id, with the smallest of its longest vectors, whose length is ``dim``.
+
+    It asks if any of its rows does.
+    """
+    least = F.min(F.struct((-F.size("vector")).alias("less"), "vector")).alias("least")
+    return rows.groupBy("id").agg(least, F.max("asks").alias("asks")).select(
+        "id", F.col("least.vector").alias("vector"), "asks", (-F.col("least.less")).alias("dim")
+    )
+
+
+def per_length(counts: Iterable[tuple[int, int, int]], candidates: int, queries: int) -> Column:
+    """``ours`` and ``theirs``, the numbers of parts, by ``dim``; from lengths with their counts."""
+    parts = [
+        x for dim, count, asks in counts
+        for x in (F.lit(dim), F.struct(
+            F.lit(max(1, -(-count // candidates))).cast("long").alias("ours"),
+            F.lit(max(1, -(-asks // queries))).cast("long").alias("theirs"),
+        ))
+    ]
+    return F.create_map(*parts)[F.col("dim")]
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -130,13 +149,16 @@ def best_of(
     return tuple(np.concatenate(f) if f else np.zeros(0) for f in found)
 
 
-def in_blocks(rows: DataFrame, dim: int, k: int) -> DataFrame:
-    """Best candidates per block of rows ``block..., side, id, vector``; side 0 asks."""
+def in_blocks(rows: DataFrame, k: int) -> DataFrame:
+    """Best candidates per block of rows ``block..., side, id, vector``; side 0 asks.
+
+    All vectors of a block have one length.
+    """
     keys = [c for c in rows.columns if c not in ("side", "id", "vector")]
 
     def compare(table: pa.Table) -> pa.Table:
         ids, side = table["id"].to_numpy(), table["side"].to_numpy()
-        vectors = matrix(table["vector"], dim)
+        vectors = matrix(table["vector"], len(table["vector"][0]))
         asks, has = side == 0, side == 1
         if asks.any() and has.any():
             q, v, s = best_of(vectors[asks], ids[asks], vectors[has], ids[has], k)
@@ -170,9 +192,10 @@ def nearest(
     axis is in use; recall falls with fewer ``tables`` or ``probes``. A query that finds fewer
     than k is held against all vectors in blocks, so it gets k if there are so many.
 
-    Vectors that are missing, zero, of another length than the longest, or hold a missing or
-    non-finite number take no part, nor do rows without a key. Repeated rows count once,
-    of several vectors under one key the smallest counts, ties go to the smaller key, other columns are left out, and an empty table gives an empty one.
+    Vectors are searched among those of their own length. Those that are missing, zero, or hold
+    a missing or non-finite number take no part, nor do rows without a key. Repeated rows count
+    once, of several vectors under one key the smallest of the longest counts, ties go to the
+    smaller key, other columns are left out, and an empty table gives an empty one.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -181,54 +204,58 @@ def nearest(
         F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"),
         F.coalesce(asked, F.lit(False)).alias("asks"),
     )
-    dim = rows.agg(F.max(F.size("vector"))).first()[0]
-    if dim is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = settle(one_each(rows.where(F.size("vector") == dim)))
+    rows = settle(one_each(rows))
     square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
-    count, longest, queries = rows.agg(
-        F.count("*"), F.sqrt(F.max(square)), F.count_if("asks")
-    ).first()
-    width = 1 << max(1, dim.bit_length())
-    plan = Tables(dim, longest, min(width, max(1, count // (2 * fill))), tables, probes)
+    lengths = rows.groupBy("dim").agg(
+        F.count("*").alias("count"), F.sqrt(F.max(square)).alias("longest"), F.count_if("asks").alias("queries")
+    ).orderBy("dim").collect()
+    if not lengths:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    plans = {}
+    for r in lengths:
+        axes = min(1 << max(1, r.dim.bit_length()), max(1, r["count"] // (2 * fill)))
+        plans[r.dim] = Tables(r.dim, r.longest, axes, tables, probes)
 
     def hashed(batches):
         for batch in batches:
-            x = matrix(batch["vector"], dim)
-            cells = plan.cells(x) if len(x) else np.zeros((0, tables), int)
+            n = batch.num_rows
+            dims = batch["dim"].to_numpy()
             asks = batch["asks"].to_numpy(zero_copy_only=False)
-            looks: list[list[int] | None] = [None] * len(x)
-            if asks.any():
-                for i, own in zip(np.flatnonzero(asks), plan.looks(x[asks])):
-                    looks[i] = own.reshape(-1).tolist()
+            cells: list[list[int] | None] = [None] * n
+            looks: list[list[list[int]] | None] = [None] * n
+            for dim in np.unique(dims):
+                at = np.flatnonzero(dims == dim)
+                x = matrix(batch["vector"].take(pa.array(at)), dim)
+                for i, own in zip(at, plans[dim].cells(x)):
+                    cells[i] = own.tolist()
+                if asks[at].any():
+                    for i, own in zip(at[asks[at]], plans[dim].looks(x[asks[at]])):
+                        looks[i] = own.tolist()
             yield pa.RecordBatch.from_arrays(
-                [batch["id"], batch["vector"], pa.array(cells.tolist(), pa.list_(pa.int32())),
-                 pa.array(looks, pa.list_(pa.int32()))],
-                ["id", "vector", "cells", "looks"],
+                [batch["id"], batch["vector"], batch["dim"], pa.array(cells, pa.list_(pa.int32())),
+                 pa.array(looks, pa.list_(pa.list_(pa.int32())))],
+                ["id", "vector", "dim", "cells", "looks"],
             )
 
     placed = rows.mapInArrow(
-        hashed, "id long, vector array<double>, cells array<int>, looks array<int>"
+        hashed, "id long, vector array<double>, dim int, cells array<int>, looks array<array<int>>"
     )
-    most = min(probes, 2 * plan.axes)
-    has = placed.select("id", "vector", F.posexplode("cells").alias("at", "cell")).select(
-        F.col("at").alias("tab"), "cell", F.lit(1).alias("side"), "id", "vector"
+    has = placed.select("dim", "id", "vector", F.posexplode("cells").alias("tab", "cell")).select(
+        "dim", "tab", "cell", F.lit(1).alias("side"), "id", "vector"
     )
     asks = placed.where("looks is not null").select(
-        "id", "vector", F.posexplode("looks").alias("at", "cell")
-    ).select(
-        F.floor(F.col("at") / most).cast("int").alias("tab"), "cell", F.lit(0).alias("side"),
-        "id", "vector",
-    )
+        "dim", "id", "vector", F.posexplode("looks").alias("tab", "own")
+    ).select("dim", "tab", F.explode("own").alias("cell"), F.lit(0).alias("side"), "id", "vector")
     both = has.union(asks)
     # Cells are few, whatever the collection, so their sizes can be broadcast. Both sides of a
     # cell are dealt into parts, so that a cell with very many vectors is many blocks.
-    sizes = settle(both.groupBy("tab", "cell").agg(
+    keys = ["dim", "tab", "cell"]
+    sizes = settle(both.groupBy(*keys).agg(
         F.ceil(F.greatest(F.lit(1), F.count_if(F.col("side") == 1)) / CANDIDATES).alias("ours"),
         F.ceil(F.greatest(F.lit(1), F.count_if(F.col("side") == 0)) / QUERIES).alias("theirs"),
     ))
-    return _answer(rows, blocked(both.join(F.broadcast(sizes), ["tab", "cell"]), ["tab", "cell"]),
-                   dim, k, count, queries)
+    counts = [(r.dim, r["count"], r.queries) for r in lengths]
+    return _answer(rows, blocked(both.join(F.broadcast(sizes), keys), keys), k, counts)
 
 
 def blocked(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -249,17 +276,21 @@ def blocked(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _answer(
-    rows: DataFrame, blocks: DataFrame, dim: int, k: int, count: int, queries: int
+    rows: DataFrame, blocks: DataFrame, k: int, counts: list[tuple[int, int, int]]
 ) -> DataFrame:
-    found = settle(ranked(in_blocks(blocks, dim, k), k))
-    asked = rows.where("asks").select("id")
+    found = settle(ranked(in_blocks(blocks, k), k))
+    asked = rows.where("asks").select("id", "dim")
     full = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
     short = settle(asked.join(full, "id", "left_anti"))
-    if not short.take(1):
+    dims = {r.dim for r in short.select("dim").distinct().collect()}
+    if not dims:
         return found
-    parts = F.lit(-(-count // CANDIDATES)).cast("long"), F.lit(-(-queries // QUERIES)).cast("long")
-    again = rows.join(short.hint("shuffle_hash"), "id", "left_semi").select(F.lit(0).alias("side"), "id", "vector")
-    every = rows.select(F.lit(1).alias("side"), "id", "vector").union(again)
-    every = every.select("*", parts[0].alias("ours"), parts[1].alias("theirs"))
-    more = ranked(in_blocks(blocked(every, []), dim, k), k)
-    return found.join(short.withColumnRenamed("id", "query_id"), "query_id", "left_anti").union(more)
+    # A length with a short query is searched whole.
+    again = rows.join(short.select("id").hint("shuffle_hash"), "id", "left_semi").select(
+        "dim", F.lit(0).alias("side"), "id", "vector"
+    )
+    counts = [c for c in counts if c[0] in dims]
+    every = rows.where(F.col("dim").isin(sorted(dims))).select("dim", F.lit(1).alias("side"), "id", "vector").union(again)
+    every = every.withColumn("parts", per_length(counts, CANDIDATES, QUERIES)).select("*", "parts.*")
+    more = ranked(in_blocks(blocked(every, ["dim"]), k), k)
+    return found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").union(more)

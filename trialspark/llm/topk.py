@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from trialspark.llm.ann import blocked, matrix, one_each, usable
+from trialspark.llm.ann import blocked, matrix, one_each, per_length, usable
 from trialspark.llm.common import settle, ship
 
 CANDIDATES = 4096  # candidates in one task's range of blocks
@@ -87,11 +87,11 @@ def top(
     Components become floor(scale * x), and a score is the integer inner product. ``asked`` says
     which rows are queries; candidates are all rows but the query's own.
 
-    Vectors that are missing, of another length than the longest, or hold a missing or
-    non-finite number take no part, nor do rows without a key; a vector of zeros does. Repeated
-    rows count once, of several vectors under one key the smallest counts, ties go to the
-    smaller key, other columns are left out, and an empty table
-    gives an empty one.
+    Vectors are searched among those of their own length. Those that are missing, empty, or hold
+    a missing or non-finite number take no part, nor do rows without a key; a vector of zeros
+    does. Repeated rows count once, of several vectors under one key the smallest of the longest
+    counts, ties go to the smaller key, other columns are left out, and an empty table gives an
+    empty one.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -102,47 +102,56 @@ def top(
         F.col(key).cast("long").alias("id"), whole.alias("vector"),
         F.coalesce(asked, F.lit(False)).alias("asks"),
     )
-    dim = rows.agg(F.max(F.size("vector"))).first()[0]
-    if not dim:
+    rows = settle(one_each(rows.where(F.size("vector") > 0)))
+    counts = [tuple(r) for r in rows.groupBy("dim").agg(F.count("*"), F.count_if("asks")).orderBy("dim").collect()]
+    if not counts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    rows = settle(one_each(rows.where(F.size("vector") == dim)))
-    count, queries = rows.agg(F.count("*"), F.count_if("asks")).first()
 
     # The k-th score among any rows bounds the k-th among all; this sample is bounded.
-    seeds = rows.select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(SEEDS).toArrow()
-    seed_ids = seeds["id"].to_numpy()
-    shared = spark.sparkContext.broadcast((seed_ids, matrix(seeds["vector"], dim)))
+    seeds = rows.select("id", "vector", "dim").orderBy(F.xxhash64("id"), "id").limit(SEEDS).toArrow()
+    seed_dims = seeds["dim"].to_numpy()
+    by_dim = {}
+    for dim in np.unique(seed_dims):
+        own = seeds.filter(pa.array(seed_dims == dim))
+        by_dim[int(dim)] = own["id"].to_numpy(), matrix(own["vector"], dim)
+    shared = spark.sparkContext.broadcast(by_dim)
 
     def seeded(batches):
-        ids, x = shared.value
         for batch in batches:
             for first in range(0, batch.num_rows, QUERIES):
                 part = batch.slice(first, QUERIES)
-                scores = matrix(part["vector"], dim) @ x.T
-                scores[part["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-                kth = np.sort(scores, axis=1)[:, -k] if len(ids) >= k else np.full(len(scores), -np.inf)
+                dims, names = part["dim"].to_numpy(), part["id"].to_numpy()
+                kth = np.full(len(dims), -np.inf)
+                for dim in np.unique(dims):
+                    ids, x = shared.value.get(int(dim), ((), None))
+                    if len(ids) < k:
+                        continue
+                    at = np.flatnonzero(dims == dim)
+                    scores = matrix(part["vector"].take(pa.array(at)), dim) @ x.T
+                    scores[names[at][:, None] == ids[None, :]] = -np.inf
+                    kth[at] = np.sort(scores, axis=1)[:, -k]
                 yield pa.RecordBatch.from_arrays(
-                    [part["id"], part["vector"], pa.array(kth)], ["id", "vector", "floor"]
+                    [part["dim"], part["id"], part["vector"], pa.array(kth)], ["dim", "id", "vector", "floor"]
                 )
 
-    asks = rows.where("asks").select("id", "vector").mapInArrow(
-        seeded, "id long, vector array<double>, floor double"
+    asks = rows.where("asks").select("dim", "id", "vector").mapInArrow(
+        seeded, "dim int, id long, vector array<double>, floor double"
     )
-    both = rows.select("id", "vector", F.lit(None).cast("double").alias("floor"), F.lit(1).alias("side")).union(
-        asks.select("id", "vector", "floor", F.lit(0).alias("side"))
+    both = rows.select("dim", "id", "vector", F.lit(None).cast("double").alias("floor"), F.lit(1).alias("side")).union(
+        asks.select("dim", "id", "vector", "floor", F.lit(0).alias("side"))
     ).select(
-        F.lit(0).alias("range"), "id", "side",
+        "dim", "id", "side",
         # The bound travels as one more number, so that blocks can be dealt as in other searches.
         F.when(F.col("side") == 0, F.concat("vector", F.array("floor"))).otherwise(F.col("vector")).alias("vector"),
-        F.lit(-(-count // CANDIDATES)).cast("long").alias("ours"),
-        F.lit(max(1, -(-queries // QUERIES))).cast("long").alias("theirs"),
-    )
+        per_length(counts, CANDIDATES, QUERIES).alias("parts"),
+    ).select("*", "parts.*")
 
     def compare(table: pa.Table) -> pa.Table:
         side = table["side"].to_numpy()
         asks, has = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
         out = [np.zeros(0, "i8")] * 3
         if len(asks) and len(has):
+            dim = len(has["vector"][0])
             q = matrix(asks["vector"], dim + 1)
             blocks = Blocks(matrix(has["vector"], dim), has["id"].to_numpy())
             q_ids = asks["id"].to_numpy()
@@ -151,7 +160,7 @@ def top(
             out = [np.repeat(q_ids, k).reshape(ids.shape)[real], ids[real], scores[real].astype("i8")]
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, out))))
 
-    found = blocked(both, ["range"]).groupBy("range", "i", "j").applyInArrow(
+    found = blocked(both, ["dim"]).groupBy("dim", "i", "j").applyInArrow(
         compare, "query_id long, vec_id long, score long"
     )
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
