@@ -200,6 +200,17 @@ def test_secrets(awkward, empty):
     assert np.mean([grammar.score(t) >= grammar.cut for t in plain]) < 0.05
 
 
+def test_long_tokens_are_scored(spark, awkward):
+    grammar = secretscan.fit(awkward)
+    rng = random.Random(3)
+    token = "eyJhbG" + "".join(rng.choice("ABCXYZabcxyz0123456789") for _ in range(5000))
+    rows = secretscan.find(frame(spark, [(1, f"see {token} here")]), grammar).collect()
+    assert rows[0].spans == f"grammar:4:{4 + len(token)}"
+    assert secretscan.candidates("a1" * 40_000 + ". " + "B2" * 200) == [
+        ("grammar", 0, 80_000), ("grammar", 80_002, 80_402)
+    ]
+
+
 def test_inference_merges_a_loop():
     automaton = secretscan.infer(["ab" * n + secretscan.END for n in range(1, 40)])
     assert len(automaton.step) < 10

@@ -33,10 +33,12 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]++")
 LONG_HEX = re.compile(r"[0-9a-f]{32}")
-# Candidates: unbroken tokens with a digit or a change of case in them.
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,512}(?![A-Za-z0-9+/_=-])")
+# Candidates: unbroken tokens of any length with a digit or a change of case in them. A run is
+# taken whole and never given back, so time is in proportion to the text.
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+")
 MIXED = re.compile(r"[0-9]|[a-z][A-Z]")
 END = "\0"
+TAUGHT = 512  # letters of a token of the corpus that automata learn from; all are scored
 
 
 def base_spans(text: str) -> list[Span]:
@@ -235,7 +237,8 @@ def fit(
     Labelled credentials are the base spans found in about ``sample_docs`` documents, chosen by
     a hash, and rule-made ones of public formats; ordinary tokens are the other candidates of
     those documents and rule-made look-alikes. At most ``sample_tokens`` tokens of the documents
-    are used. A third of all is held out and gives the lowest cut that reaches ``precision``.
+    are used, credentials by their first ``TAUGHT`` letters and ordinary tokens of at most so
+    many. A third of all is held out and gives the lowest cut that reaches ``precision``.
     """
     ship(docs.sparkSession)
     rows = docs.where(F.col(text).isNotNull()).select(key, text)
@@ -248,8 +251,11 @@ def fit(
             for t in batch.column(1).to_pylist():
                 base = base_spans(t)
                 cover = Cover(base)
-                out += [(span[0], value(t, span)[:512]) for span in base]
-                out += [("plain", t[s[1] : s[2]]) for s in candidates(t) if not cover.meets(s)]
+                out += [(span[0], value(t, span)[:TAUGHT]) for span in base]
+                out += [
+                    ("plain", t[s[1] : s[2]]) for s in candidates(t)
+                    if s[2] - s[1] <= TAUGHT and not cover.meets(s)
+                ]
             yield pa.RecordBatch.from_pydict({
                 "kind": pa.array([k for k, _ in out], pa.string()),
                 "token": pa.array([t for _, t in out], pa.string()),
