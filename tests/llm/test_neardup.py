@@ -62,6 +62,19 @@ def test_large_bands_in_blocks(spark, monkeypatch):
     assert rows_of(found) == expected
 
 
+def test_blocks_hold_few_classes(spark, monkeypatch):
+    """Short texts are few shingles but many classes; every pair still meets in a block."""
+    monkeypatch.setattr(neardup, "CLASSES", 50)
+    rows = [(7, i, i, 0, 3) for i in range(1000)]
+    table = spark.createDataFrame(rows, "band long, node long, root long, main long, n long")
+    blocks = {}
+    for r in neardup.dealt_blocks(table).collect():
+        blocks.setdefault((r.i, r.j), ([], []))[r.side].append(r.node)
+    assert max(len(side) for block in blocks.values() for side in block) < 100
+    met = [(a, b) for one, other in blocks.values() for a in one for b in other]
+    assert len(met) == len(set(met)) == 999 * 1000
+
+
 def test_empty(spark):
     assert rows_of(neardup.near_duplicates(make(spark, []))) == []
 

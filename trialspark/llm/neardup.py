@@ -31,6 +31,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = 2048  # shingles hashed at once
 SMALL = 64  # rows of a band that are paired by a join; larger bands are compared in blocks
 CHUNK = 64_000  # shingles on one side of a block
+CLASSES = 2000  # classes on one side of a block, whose counts of common shingles are a matrix
 
 
 @dataclass(frozen=True)
@@ -162,7 +163,7 @@ def spanning_links(one: list, other: list, percent: int) -> list[tuple[int, int]
     """Links between the roots of two lists of (root, set), as few as join what is linked.
 
     The common shingles of all pairs are counted by products of slices of the membership
-    matrices, so time and memory are bounded by the sizes of the lists.
+    matrices, so memory is bounded by the product of the numbers of sets.
     """
     sets = [s for _, s in one + other]
     sizes = np.array([len(s) for s in sets])
@@ -201,12 +202,38 @@ def links_in_blocks(rows: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     """Links ``a``, ``b`` between the roots of bands given as ``band, node, root, main, n``.
 
     Classes outside the main component are dealt into chunks, all classes into others, and
-    every pair of chunks is compared in a task of its own. Chunks hold about CHUNK shingles.
+    every pair of chunks is compared in a task of its own.
+    """
+
+    def compare(table: pa.Table) -> pa.Table:
+        lists: tuple[list, list] = ([], [])
+        columns = (table[c].to_pylist() for c in ("side", "root"))
+        for s, root, shingles in zip(*columns, table["shingles"]):
+            lists[s].append((root, shingles.values.to_numpy()))
+        found = spanning_links(*lists, plan.percent) if all(lists) else []
+        return pa.table({
+            "a": pa.array([a for a, _ in found], pa.int64()),
+            "b": pa.array([b for _, b in found], pa.int64()),
+        })
+
+    return (
+        dealt_blocks(rows).join(sets, "node").select("band", "i", "j", "side", "root", "shingles")
+        .groupBy("band", "i", "j").applyInArrow(compare, "a long, b long")
+    )
+
+
+def dealt_blocks(rows: DataFrame) -> DataFrame:
+    """``band, node, root, side, i, j``: members of every pair of chunks, side 0 from outside.
+
+    Chunks hold about CHUNK shingles and about CLASSES classes at most.
     """
     outside = F.col("root") != F.col("main")
     parts = settle(rows.groupBy("band").agg(
-        F.ceil(F.sum(F.when(outside, F.col("n")).otherwise(0)) / CHUNK).alias("ours"),
-        F.ceil(F.sum("n") / CHUNK).alias("theirs"),
+        F.greatest(
+            F.ceil(F.sum(F.when(outside, F.col("n")).otherwise(0)) / CHUNK),
+            F.ceil(F.count_if(outside) / CLASSES),
+        ).alias("ours"),
+        F.greatest(F.ceil(F.sum("n") / CHUNK), F.ceil(F.count("*") / CLASSES)).alias("theirs"),
     ))
     dealt = rows.join(parts, "band").withColumn("spread", F.xxhash64("node"))
 
@@ -219,26 +246,10 @@ def links_in_blocks(rows: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
             F.col("copy" if number == 0 else "part").alias("j"),
         )
 
-    both = side(0, dealt.where(outside), "ours", "theirs").union(
+    return side(0, dealt.where(outside), "ours", "theirs").union(
         side(1, dealt, "theirs", "ours")
     )
 
-    def compare(table: pa.Table) -> pa.Table:
-        lists: tuple[list, list] = ([], [])
-        columns = (table[c].to_pylist() for c in ("side", "root"))
-        for s, root, shingles in zip(*columns, table["shingles"]):
-            lists[s].append((root, shingles.values.to_numpy()))
-        found = spanning_links(*lists, plan.percent) if all(lists) else []
-        return pa.table({
-            "a": pa.array([a for a, _ in found], pa.int64()),
-            "b": pa.array([b for _, b in found], pa.int64()),
-        })
-
-    return (
-        both.join(sets, "node").select("band", "i", "j", "side", "root", "shingles")
-        .groupBy("band", "i", "j").applyInArrow(compare, "a long, b long")
-    )
-
 
 def near_duplicates(
     docs: DataFrame, plan: Plan = Plan(), text: str = "text", key: str = "doc_id"
