@@ -153,6 +153,23 @@ def test_personal_data(awkward, empty):
     assert changed.count() == awkward.count() and "side" in changed.columns
 
 
+def test_loose_formats_are_found_where_they_are_common(spark):
+    """Loose phones in the corpus do not raise the cuts until none is selected."""
+    rng = random.Random(8)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    loose = [f"({number(3)}) {number(3)}-{number(4)}" for _ in range(3000)]
+    rows = [(i, f"please call {p} for the tour today") for i, p in enumerate(loose)]
+    rows += [(3000 + i, f"please call +49 30 {number(4)} {number(4)} or order {number(3)}-{number(3)}-{number(4)} now") for i in range(300)]
+    docs = frame(spark, rows)
+    selector = pii.fit(docs)
+    assert all(cut <= 1 for cut in selector.cuts.values())
+    found = {r.doc_id: r.spans for r in pii.find(docs, selector).collect()}
+    assert sum(found[i] == f"phone:12:{12 + len(p)}" for i, p in enumerate(loose)) >= 2700
+    text = "mail joe@site.org or call +49 30 1234 5678; we sent the order 123-456-7890 and tel 212 555 0199"
+    assert pii.corpus_examples(text)[1].count(1.0) == 2
+    assert pii.corpus_examples(text)[1].count(0.0) == 1
+
+
 def plain_personal(text):
     found = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
