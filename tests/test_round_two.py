@@ -148,3 +148,11 @@ def test_nested_long_equals_the_wide_form(spark):
            for r in contrasts.nested_long(df, ["k"], ["v"], ["f", "g"]).collect()}
     assert got[1, "v_i_n_f", ("a",)] == 0.5 and got[1, "v_i_n_f", ("b",)] == 0.0
     assert got[2, "v_i_n_f_i_n_g", ("b", None)] == -0.5 and len(got) == 12
+
+
+def test_stacked_stages_have_a_display_order(spark):
+    rows = spark.createDataFrame(
+        [(s,) for s in ["BERT (pre-fine-tuning)", "People", "BERT (fine-tuned)"]], "data_source string"
+    )
+    ranked = prep.with_ranks(rows, levels={"data_source": S.STAGES})
+    assert [r[0] for r in ranked.orderBy("data_source_rank").collect()] == S.STAGES[:3]

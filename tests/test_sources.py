@@ -2,8 +2,6 @@
 
 import gzip
 
-import pytest
-
 from trialspark import schemas as S
 from trialspark.operators import draws, ordered
 from trialspark.sources import readers, writers
@@ -16,9 +14,12 @@ def test_event_log_comments_blanks_and_missing(spark, tmp_path):
     )
     rows = sorted(readers.read_event_log(spark, str(tmp_path), schema).collect(),
                   key=lambda r: r["row_id"])
-    assert [tuple(r)[1:] for r in rows] == [
+    assert [tuple(r[f.name] for f in schema) for r in rows] == [
         (3, None, "z ", None), (4, '"q', "", None), (5, "", "y", 1.5), (None, "a", "b", None),
     ]
+    assert [(r["fields"], r["surplus"], r["bad_numbers"]) for r in rows] == [
+        (3, None, 0), (2, None, 0), (5, "beyond", 0), (4, None, 1),
+    ]
 
 
 def test_row_id_follows_files_and_splits(spark, tmp_path):
@@ -99,10 +100,12 @@ def test_report(spark, tmp_path):
     ]
 
 
-def test_files_with_different_headers_are_an_error(spark, tmp_path):
+def test_reordered_headers_are_read_by_name(spark, tmp_path):
     names = [f.name for f in S.COSSIMS]
+    values = {n: "7" if n in ("eval_epoch", "cossim") else n for n in names}
     for i, header in enumerate([names, names[::-1]]):
         with gzip.open(tmp_path / f"{i}.cossims.csv.gz", "wt") as out:
-            out.write(",".join(header) + "\n" + ",".join(["1"] * len(names)) + "\n")
-    with pytest.raises(Exception, match="header"):
-        readers.read_cossims(spark, str(tmp_path)).collect()
+            out.write(",".join(header) + "\n" + ",".join(values[n] for n in header) + "\n")
+    rows = readers.read_cossims(spark, str(tmp_path)).collect()
+    assert len(rows) == 2 and rows[0] == rows[1]
+    assert rows[0].asDict() == values | {"eval_epoch": 7, "cossim": 7.0}

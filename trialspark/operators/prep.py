@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -404,11 +404,18 @@ def merge_sources(people: DataFrame, models: DataFrame) -> DataFrame:
     )
 
 
-def with_ranks(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Integer ``*_rank`` columns that carry the display order of the labels."""
-    columns = [c for c in S.LEVELS if c in df.columns] if columns is None else columns
+def with_ranks(
+    df: DataFrame, columns: Sequence[str] | None = None,
+    levels: Mapping[str, Sequence[str]] = {**S.LEVELS, "stage": S.STAGES},
+) -> DataFrame:
+    """Integer ``*_rank`` columns that carry the display order of the labels.
+
+    ``columns`` are by default those of ``levels`` that there are. Stacked stages are ranked in a
+    column ``stage``, or elsewhere with ``{"data_source": schemas.STAGES}`` as ``levels``.
+    """
+    columns = [c for c in levels if c in df.columns] if columns is None else columns
     return df.withColumns(
-        {f"{c}_rank": text.rank_of(F.col(c), S.LEVELS[c]).cast("bigint") for c in columns}
+        {f"{c}_rank": text.rank_of(F.col(c), levels[c]).cast("bigint") for c in columns}
     )
 
 

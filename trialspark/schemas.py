@@ -101,13 +101,13 @@ LEVELS = {
     ],
     "voice": [ACTIVE, PASSIVE],
     "data_source": [HUMAN, *MODELS],
-    "stage": [
-        "People", *(f"{m} ({s})" for m in MODELS for s in ("fine-tuned", "pre-fine-tuning")),
-    ],
     "mask_added_tokens": [UNMASKED],
     "stop_at": [CONVERGENCE],
 }
 
+# Display order of the stacked labels that ``metrics.pre_post_stack`` writes to ``data_source``.
+STAGES = ["People", *(f"{m} ({s})" for m in MODELS for s in ("fine-tuned", "pre-fine-tuning"))]
+
 SOURCE_SETS = {
     "bert": [HUMAN, "BERT"],
     "modernbert_base": [HUMAN, "ModernBERT Base"],
