@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from trialspark.llm import ann, langid, linededup, neardup, packing, pieces, pii, secretscan, tokens, topk
+from trialspark.llm import (
+    ann, fim, langid, linededup, neardup, packing, pieces, pii, repair, secretscan, tokens, topk, toxicity,
+)
 
 
 def vocabulary(name: str) -> str:
@@ -80,6 +82,48 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
+    model = toxicity.fit(docs, labels, sample_docs=4000)
+    scored = toxicity.score(docs, model, cut=0.3)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with planted faults, by a checksum of conversation and turn."""
+    space = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
+    code = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")) % 20
+    text = F.when(code == 1, "").when(code == 2, F.translate(space("text"), ".!?", "")).otherwise(space("text"))
+    copies = F.when(code == 0, 0).when(code == 3, 2).otherwise(1)
+    return conversations.select(
+        "conv_id", "turn", F.when(code == 4, "user").otherwise(space("role")).alias("role"),
+        text.alias("text"), F.explode(F.array_repeat(F.lit(1), copies)).alias("copy"),
+    ).drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    reports, repaired = repair.repair(repair.as_turns(damaged(conversations)))
+    every = conversations.select("conv_id").distinct().withColumn("conv", repair.conv_name(F.col("conv_id")))
+    found = every.join(reports, "conv", "left").join(repair.digests(repaired), "conv", "left")
+    zeros = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return found.select(
+        "conv_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in zeros),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = fim.transform(documents(spark, sf_dir), plain_from=90, spm_below=20)
+    return moved.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_nearest": op2_nearest,
@@ -91,4 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_top_scores": op8_top_scores,
     "op9_secrets": op9_secrets,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_toxicity": op11_toxicity,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
