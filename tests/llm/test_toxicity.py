@@ -146,5 +146,5 @@ def test_held_out_documents(spark):
     rows = found.where("held_out").join(labels, "doc_id").collect()
     bad = [r.predicted for r in rows if r.toxic]
     good = [r.predicted for r in rows if not r.toxic]
-    assert sum(bad) >= 0.9 * len(bad) and sum(good) <= 0.01 * len(good)
+    assert sum(bad) >= 0.9 * len(bad) and sum(good) <= 0.02 * len(good)
     assert found.count() == queries.documents(spark, sf_dir).count()

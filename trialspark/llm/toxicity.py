@@ -16,7 +16,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -44,6 +44,8 @@ ADDRESS = frozenset("you your you're du dein dich ihr tu tes vous votre tú eres
 # Share of a term's strength that is left after so many edits.
 STRENGTH = (1.0, 0.7, 0.5)
 STEM_LENGTHS = range(3, 9)
+# Odd factors that turn one 32-bit hash into several.
+TURNS = np.array([2654435761, 2246822519, 3266489917, 668265263, 374761393, 2860486313], np.uint32)
 
 
 def edits_allowed(term: str, stem: bool) -> int:
@@ -55,14 +57,15 @@ def edits_allowed(term: str, stem: bool) -> int:
 
 @dataclass(frozen=True)
 class Term:
-    """A word, or the beginning of words (``stem``)."""
+    """A word, or the beginning of words (``stem``), and the edits that it allows."""
 
     text: str
     stem: bool = False
+    edits: int = -1
 
-    @property
-    def edits(self) -> int:
-        return edits_allowed(self.text, self.stem)
+    def __post_init__(self):
+        if self.edits < 0:
+            object.__setattr__(self, "edits", edits_allowed(self.text, self.stem))
 
 
 class Node:
@@ -258,8 +261,8 @@ def labelled_sample(
 
     The words are those outside quotations, since a quoted term is no sign of anything.
     A document has the largest label of its rows. The ids are drawn first, by a hash, and sent to
-    the texts, which stay where they are. Of documents with the same least hash of three words in
-    a row, as near copies mostly have, one is kept.
+    the texts, which stay where they are. A document that shares one of its least hashes of three
+    words in a row with an earlier one, as near copies do, is left out.
     """
     known = labels.where(f"`{key}` is not null and toxic is not null").groupBy(
         F.col(f"`{key}`").alias("id")
@@ -275,23 +278,28 @@ def labelled_sample(
 
     def start():
         def work(ids, texts, labels):
-            out = {"id": ids, "text": texts, "toxic": labels, "words": [], "least": []}
+            out = {"id": ids, "text": texts, "toxic": labels, "words": [], "least": [], "mark": []}
             for t in texts:
                 words = [w.lower() for w in TOKEN.findall(QUOTATION.sub(" ", t))]
-                runs = map("\n".join, zip(words, words[1:], words[2:]))
-                out["least"].append(min((zlib.crc32(r.encode()) for r in runs), default=zlib.crc32(t.encode())))
+                runs = set(map("\n".join, zip(words, words[1:], words[2:]))) or {t}
+                hashed = np.fromiter((zlib.crc32(r.encode()) for r in runs), np.uint32, len(runs))
+                out["least"].append([int((hashed * turn).min()) for turn in TURNS])
                 out["words"].append(sorted(set(words)))
+                out["mark"].append(zlib.crc32(t.encode()))
             return out
 
         return work
 
     kind = docs.schema[key].dataType.simpleString()
-    split = map_batches(
+    split = settle(map_batches(
         rows, ["id", "text", "toxic"],
-        f"id {kind}, text string, toxic boolean, words array<string>, least long", start,
-    )
-    whole = F.struct("id", "text", "words")
-    return settle(split.groupBy("toxic", "least").agg(F.min(whole).alias("own")).select("toxic", "own.*"))
+        f"id {kind}, text string, toxic boolean, words array<string>, least array<long>, mark long", start,
+    ).dropDuplicates(["id", "mark"]))
+    own = F.struct("id", "mark")
+    shared = split.select("toxic", own.alias("own"), F.posexplode("least").alias("turn", "value"))
+    first = shared.groupBy("toxic", "turn", "value").agg(F.min("own").alias("first"), F.collect_list("own").alias("all"))
+    later = first.select(F.explode("all").alias("own"), "first").where("own <> first").select("own.*").distinct()
+    return settle(split.join(later, ["id", "mark"], "left_anti").select("toxic", "id", "text", "words"))
 
 
 def candidates(sample: DataFrame, least_docs: int, least_odds: float, most: int) -> list[tuple[Term, float]]:
@@ -410,8 +418,7 @@ def fit(
     rows = [r.own for r in held.collect()]
     least = max(least_docs, len(rows) // 100)
     terms = cover(found, rows, times=2, least=least, sure=1.2 * min(e for _, e in found))
-    model = Model(terms=terms)
-    model.exempt = _exempt(sample, model)
+    model = _with_exempt(sample, terms)
     model.around = _around(sample, model)
 
     def measuring():
@@ -424,16 +431,28 @@ def fit(
     return model
 
 
-def _exempt(sample: DataFrame, model: Model) -> frozenset[str]:
-    """Forms near a term that clean documents of the sample hold: words of their own."""
+def _with_exempt(sample: DataFrame, terms: Sequence[Term], crowd: int = 3) -> Model:
+    """The terms, and the forms near them that clean documents hold: words of their own.
 
-    def start():
-        lexicon = Lexicon(model.terms)
-        near = WordCache(lambda w: lexicon.nearest(w)[0] > 0)
-        return lambda rows: {"forms": [[w for w in row if near[w]] for row in rows]}
+    A term with ``crowd`` such forms lies among ordinary words and allows no edits.
+    """
 
-    clean = map_batches(sample.where("not toxic"), ["words"], "forms array<string>", start)
-    return frozenset(r.form for r in clean.select(F.explode("forms").alias("form")).distinct().collect())
+    def start():
+        lexicon = Lexicon(terms)
+        known = WordCache(lexicon.nearest)
+        return lambda rows: {"near": [
+            [{"form": w, "term": known[w][1]} for w in row if known[w][0] > 0] for row in rows
+        ]}
+
+    clean = map_batches(
+        sample.where("not toxic"), ["words"], "near array<struct<form: string, term: int>>", start
+    )
+    rows = clean.select(F.inline("near")).distinct().collect()
+    crowded = {i for i, n in Counter(r.term for r in rows).items() if n >= crowd}
+    return Model(
+        terms=[replace(t, edits=0) if i in crowded else t for i, t in enumerate(terms)],
+        exempt=frozenset(r.form for r in rows),
+    )
 
 
 def _around(sample: DataFrame, model: Model, least: int = 3) -> dict[str, float]:
