@@ -104,3 +104,17 @@ def test_strict_quantiles(spark):
         df, ["k"], "x", {"m": 0.5}, strict=True).collect()}
     assert loose == {1: 1.0, 2: 5.0, None: 2.0, 3: None}
     assert strict == {1: None, 2: 5.0, None: 2.0, 3: None}
+
+
+def test_tails_and_quantiles_in_columns(spark):
+    import math
+    xs = [0.0, 1e-9, 0.3, 1.0, 2.99, 3.0, 4.2, 9.0, 26.0]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", stats.erfc(F.col("x")).alias("p"))
+    for x, p in got.collect():
+        assert p == pytest.approx(math.erfc(x), rel=1e-9)
+    pairs = [(1.0, 1.0), (1.0, 2.0), (1.0, 5000.0), (3.0, 1.0), (40.0, 2.0), (31.0, 11.0), (2e5, 3e5), (1.0, 1e6)]
+    frame = spark.createDataFrame(pairs, "a double, b double")
+    for p in (0.005, 0.025, 0.5, 0.975, 0.995):
+        rows = frame.select("a", "b", stats.beta_quantile_column(p, F.col("a"), F.col("b")).alias("q")).collect()
+        for a, b, q in rows:
+            assert q == pytest.approx(stats.beta_quantile(p, np.array([a]), np.array([b]))[0], rel=1e-7)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from trialspark.functions.nulls import ratio
 
-# The helpers below travel with the tasks, so workers need not have the package installed.
+# ``two_digits`` travels with the tasks, so workers need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Chi-square (df 1) statistics whose upper tail is the given p.
@@ -48,10 +48,26 @@ def chi2_2x2(a: Column, b: Column, c: Column, d: Column) -> Column:
     return ratio(n * gap * gap, (a + b) * (c + d) * (a + c) * (b + d))
 
 
-@F.pandas_udf(T.DoubleType())
-def chi2_p(statistic: pd.Series) -> pd.Series:
-    """Upper tail of chi-square with one degree of freedom; for aggregates only."""
-    return statistic.map(lambda s: math.erfc(math.sqrt(s / 2)), na_action="ignore").astype(float)
+ERFC_STEPS = 60
+
+
+def erfc(x: Column) -> Column:
+    """Complementary error function of a number that is not negative, by ``ERFC_STEPS`` steps.
+
+    The series of erf in nested form below 3, the continued fraction from there on.
+    """
+    steps = F.sequence(F.lit(ERFC_STEPS), F.lit(1), F.lit(-1))
+    square = x * x
+    series = F.aggregate(steps, F.lit(1.0), lambda f, n: 1 + 2 * square / (2 * n + 1) * f)
+    fraction = F.aggregate(steps, F.lit(1.0), lambda f, n: 1 + n / (2 * square) / f)
+    tail = F.exp(-square) / F.sqrt(F.lit(math.pi))
+    return F.when(x < 3, 1 - 2 * tail * x * series).otherwise(tail / x / fraction)
+
+
+def chi2_p(statistic: Column | str) -> Column:
+    """Upper tail of chi-square with one degree of freedom; NULL for no statistic."""
+    statistic = F.col(statistic) if isinstance(statistic, str) else statistic
+    return erfc(F.sqrt(statistic / 2))
 
 
 @F.pandas_udf(T.StringType())
@@ -184,30 +200,57 @@ def beta_counts(df: DataFrame, keys: Sequence[str], outcome: str) -> DataFrame:
     return df.groupBy(*keys).agg(*beta_measures(outcome))
 
 
+# Points and weights over the unit interval: Gauss-Legendre panels side by side.
+AREA_PANELS, AREA_NODES, REACH, NEWTON_STEPS = 12, 8, 12.0, 16
+
+
+def area_points() -> list[tuple[float, float]]:
+    nodes, weights = np.polynomial.legendre.leggauss(AREA_NODES)
+    return [
+        ((panel + 0.5 + 0.5 * float(x)) / AREA_PANELS, 0.5 * float(w) / AREA_PANELS)
+        for panel in range(AREA_PANELS) for x, w in zip(nodes, weights)
+    ]
+
+
+def beta_quantile_column(p: float, a: Column, b: Column) -> Column:
+    """Quantile of the Beta distribution with parameters of 1 or more, as an expression; NULL for NULL.
+
+    With x = sin(t)^2 the density over the angle t is smooth, has one mode and is about normal, so
+    its area is a fixed sum around the mode, and relative to the mode it needs no gamma function.
+    Newton's steps begin at the mode, from where they never pass the quantile.
+    """
+    up, down = 2 * a - 1, 2 * b - 1
+    mode = F.atan2(F.sqrt(up), F.sqrt(down))
+    width = 0.5 / F.sqrt(a + b - 1)
+    least = F.greatest(F.lit(0.0), mode - REACH * width)
+    most = F.least(F.lit(math.pi / 2), mode + REACH * width)
+    points = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(w).alias("w")) for x, w in area_points()))
+
+    def density(t: Column) -> Column:
+        return F.exp(up * F.ln(F.sin(t) / F.sin(mode)) + down * F.ln(F.cos(t) / F.cos(mode)))
+
+    def area(t: Column) -> Column:
+        added = F.aggregate(
+            points, F.lit(0.0), lambda s, n: s + n["w"] * density(least + (t - least) * n["x"])
+        )
+        return (t - least) * added
+
+    steps = F.sequence(F.lit(1), F.lit(NEWTON_STEPS))
+    wanted = p * area(most)
+    angle = F.aggregate(
+        steps, mode, lambda t, _: F.greatest(least, F.least(most, t - (area(t) - wanted) / density(t)))
+    )
+    return F.when(a.isNotNull() & b.isNotNull(), F.pow(F.sin(angle), F.lit(2.0)))
+
+
 def beta_interval(counts: DataFrame, ci: float = 0.95) -> DataFrame:
     """Add ``ymin``/``ymax``, the equal-tailed interval of Beta(k + 1, n - k + 1).
 
-    Runs on the counts, one row per group.
+    Runs on the counts, one row per group; NULL where ``k`` is.
     """
     low = (1 - ci) / 2
-    high = ci + low
-    fields = [
-        *counts.schema.fields,
-        T.StructField("ymin", T.DoubleType()),
-        T.StructField("ymax", T.DoubleType()),
-    ]
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            known = batch["k"].notna()
-            k = batch.loc[known, "k"].to_numpy(float)
-            n = batch.loc[known, "n"].to_numpy(float)
-            for name, p in (("ymin", low), ("ymax", high)):
-                batch[name] = np.nan
-                if len(k):
-                    batch.loc[known, name] = beta_quantile(p, k + 1, n - k + 1)
-            yield batch
-
-    return counts.mapInPandas(add, T.StructType(fields)).withColumns(
-        {name: F.nanvl(name, F.lit(None).cast("double")) for name in ("ymin", "ymax")}
-    )
+    a = (F.col("k") + 1).cast("double")
+    b = (F.col("n") - F.col("k") + 1).cast("double")
+    return counts.withColumns({
+        name: beta_quantile_column(p, a, b) for name, p in (("ymin", low), ("ymax", ci + low))
+    })

@@ -377,6 +377,38 @@ V = "CASE WHEN passive THEN -0.5 ELSE 0.5 END"
 D = "CASE WHEN human THEN 0.5 ELSE -0.5 END"
 R = "CASE WHEN to_subject THEN -0.5 ELSE 0.5 END"
 
+# The same steps as the column expressions: nested series, continued fraction, Newton on areas.
+AREA = "list_sum(list_transform(pts, lambda pt: pt.w * exp(up * ln(sin(lo + ({t} - lo) * pt.x) / sin(mode))" \
+    " + down * ln(cos(lo + ({t} - lo) * pt.x) / cos(mode))))) * ({t} - lo)"
+DENSITY = "exp(up * ln(sin({t}) / sin(mode)) + down * ln(cos({t}) / cos(mode)))"
+
+
+def _quantile(p: float) -> str:
+    step = f"t - ({AREA.format(t='t')} - {p} * total) / {DENSITY.format(t='t')}"
+    return f"""round(CASE WHEN k IS NOT NULL THEN pow(sin(list_reduce(list_prepend(mode, list_transform(range(16), lambda i: 0.0::DOUBLE)),
+        lambda t, i: greatest(lo, least(hi, {step})))), 2) END, 6)"""
+
+
+def _points() -> str:
+    import numpy as np
+
+    nodes, weights = np.polynomial.legendre.leggauss(8)
+    return "[" + ", ".join(
+        f"{{'x': ({panel} + 0.5 + 0.5 * {x!r}::DOUBLE) / 12, 'w': 0.5 * {w!r}::DOUBLE / 12}}"
+        for panel in range(12) for x, w in zip(map(float, nodes), map(float, weights))
+    ) + "]"
+
+
+def _upper_tail(statistic: str) -> str:
+    x = f"sqrt({statistic} / 2)"
+    fold = "list_reduce(list_prepend(1.0::DOUBLE, range(60, 0, -1)::DOUBLE[]), lambda f, n: {step})"
+    series = fold.format(step=f"1 + 2 * pow({x}, 2) / (2 * n + 1) * f")
+    fraction = fold.format(step=f"1 + n / (2 * pow({x}, 2)) / f")
+    tail = f"exp(-pow({x}, 2)) / sqrt(pi())"
+    return f"""round(coalesce(CASE WHEN {x} < 3 THEN 1 - 2 * {tail} * {x} * {series}
+        ELSE {tail} / {x} / {fraction} END, 'Infinity'::DOUBLE), 6)"""
+
+
 SELECTS = {
     "project_range": "SELECT subject, item, word, response AS answer, correct FROM tr",
     "tag_source": f"""SELECT event_id, user_id, CAST(NULL AS BOOLEAN) AS correct_pre_training,
@@ -548,6 +580,18 @@ SELECTS = {
     "linear_counts": "SELECT * FROM lin",
     "linear_test": """SELECT * REPLACE (round(statistic_subj, 6) AS statistic_subj,
         round(statistic_obj, 6) AS statistic_obj) FROM linear""",
+    "p_values": f"""SELECT * REPLACE (round(statistic_subj, 6) AS statistic_subj,
+          round(statistic_obj, 6) AS statistic_obj),
+        {_upper_tail("statistic_subj")} AS p_value_subj, {_upper_tail("statistic_obj")} AS p_value_obj
+        FROM lin_stat""",
+    "beta_interval": f"""SELECT data_source, voice, target_response, k, n, mean,
+          {_quantile((1 - 0.95) / 2)} AS ymin, {_quantile(0.95 + (1 - 0.95) / 2)} AS ymax
+        FROM (SELECT *, {AREA.format(t="hi")} AS total FROM (
+          SELECT *, greatest(0, mode - 12 * width) AS lo, least(pi() / 2, mode + 12 * width) AS hi,
+            {_points()} AS pts
+          FROM (SELECT *, 2.0 * k + 1 AS up, 2.0 * (n - k) + 1 AS down,
+              atan2(sqrt(2.0 * k + 1), sqrt(2.0 * (n - k) + 1)) AS mode, 0.5 / sqrt(n + 1.0) AS width
+            FROM ({BARS.format(rows="exp")}))))""",
     "flag_linear": "SELECT subject, item, correct, linear FROM tagged",
     "exclusion_reasons": f"SELECT {RUN}, why_excluded FROM excl_all",
     "drop_excluded": """SELECT subject, item, correct, condition AS part FROM tr
