@@ -14,6 +14,7 @@ import json
 import re
 import unicodedata
 import zlib
+from array import array
 from collections import defaultdict
 from dataclasses import dataclass
 from functools import lru_cache
@@ -36,6 +37,15 @@ ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 SPACE = re.compile("[\t-\r ]+")
 
 
+# The same for whole texts of such characters, where \p{L} and \p{N} can be said without tables;
+# fractions and raised digits are numbers.
+PLAIN_TEXT = re.compile("[\t-\r \x21-\x7e\xa1-\u02ff]*")
+PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+")
+BREAK = re.compile("[\t-\r ]")
+# Longer texts are taken in stretches of about so many characters, broken at white space.
+STRETCH = 1 << 18
+
+
 class WordEncoder:
     """Token ids of texts under a vocabulary whose words do not run over white space.
 
@@ -59,7 +69,7 @@ class WordEncoder:
         spelled = word
         if not (word.isascii() and word.isalnum()):
             spelled = word.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         if chunk.isascii() and chunk.isalpha():
@@ -73,6 +83,20 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        if len(text) <= STRETCH:
+            return self._stretch(text)
+        parts, at = [], 0
+        while at < len(text):
+            # Words and special strings do not run over white space.
+            end = BREAK.search(text, min(at + STRETCH, len(text)))
+            end = end.end() if end else len(text)
+            parts.append(self._stretch(text[at:end]))
+            at = end
+        return b"".join(parts)
+
+    def _stretch(self, text: str) -> bytes:
+        if PLAIN_TEXT.fullmatch(text) and not self.specials.search(text):
+            return b"".join(map(self.words.__getitem__, PLAIN_WORDS.findall(text.lower())))
         chunks = SPACE.split(text) if ODD_SPACE.search(text) else text.split()
         return b"".join(map(self.chunks.__getitem__, chunks))
 
