@@ -323,3 +323,22 @@ def test_nnls():
     x = packing.nnls(a, b)
     gradient = a.T @ (a @ x - b)
     assert (x >= 0).all() and (gradient > -1e-6).all() and abs(gradient @ x) < 1e-6
+
+
+def test_long_runs_of_spaces_and_unbroken_words_equal_the_library():
+    table = pieces.PieceTable(queries.vocabulary("piece_bpe_32k.model"))
+    for text in (" " * 300_000, "  " + "abcde" * 30_000, "  " + "中文字" * 20_000, " a  b   c" * 5_000):
+        ids = np.frombuffer(table.encode(text), "<u4").tolist()
+        assert ids == [table.begin, *table.library.encode(text), table.end]
+
+
+def test_packing_ids_equal_the_library_on_odd_characters():
+    path = queries.vocabulary("word_bpe_49k.json")
+    plain, ours = Tokenizer.from_file(path), packing.WordEncoder(path)
+    rng = random.Random(7)
+    letters = [chr(c) for c in range(1, 0x300)] + list("  \n'stremvld²½_0aA") * 30 + ["<|endoftext|>", "漢", "Σ", "́"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    texts += ["word's " * 60_000, "x" * 5000]
+    for text in texts:
+        ids = plain.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ours.encode(text), "<u4").tolist() == ids

@@ -6,6 +6,7 @@ encoding of its own joined text, so one test for pairs is all that prefix tables
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Sequence
 
 from trialspark.llm.common import WordCache
@@ -26,22 +27,39 @@ class PairTest:
         self.results = WordCache(self._test, remember // 2)
 
     def merge(self, symbols: Sequence[str]) -> tuple[list[str], tuple[str, str, int] | None]:
-        """Merge neighbours until none is left; also the last merge made. For short lists."""
-        symbols, made = list(symbols), None
-        ranks = [self._cost(a, b) for a, b in zip(symbols, symbols[1:])]
-        while ranks:
-            best = min(ranks)
-            if best == NEVER:
-                break
-            at = ranks.index(best)
-            made = (symbols[at], symbols[at + 1], best)
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-            del ranks[at]
-            if at:
-                ranks[at - 1] = self._cost(symbols[at - 1], symbols[at])
-            if at < len(ranks):
-                ranks[at] = self._cost(symbols[at], symbols[at + 1])
-        return symbols, made
+        """Merge neighbours until none is left; also the last merge made.
+
+        Pairs wait in a heap by rank and place, and the symbols are a linked list, so that the time
+        grows with n log n. A pair is out of date when one of its symbols has changed since.
+        """
+        own: list[str | None] = list(symbols)
+        size, made = len(own), None
+        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+        waiting: list[tuple[int, int, str, str]] = []
+
+        def wait(at: int) -> None:
+            then = after[at]
+            if at >= 0 and then < size:
+                cost = self._cost(own[at], own[then])
+                if cost != NEVER:
+                    heapq.heappush(waiting, (cost, at, own[at], own[then]))
+
+        for at in range(size - 1):
+            wait(at)
+        while waiting:
+            cost, at, left, right = heapq.heappop(waiting)
+            then = after[at]
+            if own[at] != left or then >= size or own[then] != right:
+                continue
+            made = (left, right, cost)
+            own[at], own[then] = left + right, None
+            after[at] = after[then]
+            if after[at] < size:
+                before[after[at]] = at
+            wait(at)
+            if before[at] >= 0:
+                wait(before[at])
+        return [x for x in own if x is not None], made
 
     def _cost(self, a: str, b: str) -> int:
         found = self.rank(a, b)
