@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from trialspark.llm import langid, linededup, packing, pieces, pii, secretscan, tokens
 from trialspark.llm.queries import held_out, vocabulary
@@ -326,14 +327,14 @@ def test_nnls():
 
 
 def test_long_runs_of_spaces_and_unbroken_words_equal_the_library():
-    table = pieces.PieceTable(queries.vocabulary("piece_bpe_32k.model"))
+    table = pieces.PieceTable(vocabulary("piece_bpe_32k.model"))
     for text in (" " * 300_000, "  " + "abcde" * 30_000, "  " + "中文字" * 20_000, " a  b   c" * 5_000):
         ids = np.frombuffer(table.encode(text), "<u4").tolist()
         assert ids == [table.begin, *table.library.encode(text), table.end]
 
 
 def test_packing_ids_equal_the_library_on_odd_characters():
-    path = queries.vocabulary("word_bpe_49k.json")
+    path = vocabulary("word_bpe_49k.json")
     plain, ours = Tokenizer.from_file(path), packing.WordEncoder(path)
     rng = random.Random(7)
     letters = [chr(c) for c in range(1, 0x300)] + list("  \n'stremvld²½_0aA") * 30 + ["<|endoftext|>", "漢", "Σ", "́"]
