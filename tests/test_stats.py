@@ -118,3 +118,41 @@ def test_tails_and_quantiles_in_columns(spark):
         rows = frame.select("a", "b", stats.beta_quantile_column(p, F.col("a"), F.col("b")).alias("q")).collect()
         for a, b, q in rows:
             assert q == pytest.approx(stats.beta_quantile(p, np.array([a]), np.array([b]))[0], rel=1e-7)
+
+
+def test_standard_errors_against_finite_differences(spark):
+    from trialspark.operators import fit
+
+    rng = np.random.default_rng(2)
+    a, b = rng.choice([-0.5, 0.5], (2, 400))
+    y = rng.random(400) < 1 / (1 + np.exp(-(0.3 + a - 0.6 * a * b)))
+    df = spark.createDataFrame([(float(p), float(q), bool(r)) for p, q, r in zip(a, b, y)],
+                               "a double, b double, correct boolean")
+    got = fit.fit_with_errors(df, ["a", "b", "a:b"], prior_sd=2.0).collect()
+    x = np.stack([np.ones(400), a, b, a * b], axis=1)
+    at = np.array([r.estimate for r in got])
+
+    def loss(t):
+        z = x @ t
+        return np.logaddexp(0, z).sum() - y @ z + (t[1:] ** 2).sum() / 8
+
+    h, eye = 1e-3, np.eye(4)
+    curve = np.array([[
+        (loss(at + h * (p + q)) - loss(at + h * (p - q)) - loss(at + h * (q - p)) + loss(at - h * (p + q))) / (4 * h * h)
+        for q in eye] for p in eye])
+    errors = np.sqrt(np.diag(np.linalg.inv(curve)))
+    assert np.allclose([r.std_error for r in got], errors, rtol=1e-4)
+    assert np.allclose([(r.high - r.low) / 2 for r in got], 1.959964 * errors, rtol=1e-4)
+
+
+def test_short_chains_keep_every_draw(spark):
+    from trialspark.operators import draws
+
+    df = spark.createDataFrame(
+        [(c, i, float((7 * i + (c or 3)) % 5)) for c in (0, None) for i in range(9)],
+        "chain long, at long, `b_x` double",
+    )
+    assert draws.draw_trace(df, "chain", "at", pixels=20).count() == 18
+    long = draws.draw_trace(df, "chain", "at", pixels=2)
+    for r in long.groupBy("chain", "pixel").agg(F.min("position").alias("a"), F.max("position").alias("b")).collect():
+        assert (r.a, r.b) in ((0, 4), (5, 8))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trialspark.functions.text import PLOT_WORDS, effect_label
 from trialspark.operators.quantiles import exact_quantiles
+from trialspark.session import settle
 
 
 def parameters(draws: DataFrame, pattern: str) -> list[str]:
@@ -108,3 +110,90 @@ def draw_histogram(
         F.count(F.lit(1)).alias("n"),
         F.min("lo").alias("lo"), F.min("hi").alias("hi"),
     )
+
+
+def draw_density(
+    draws: DataFrame, pattern: str = r"^b_(?!Intercept)", points: int = 128, reach: float = 3.0,
+    outer: float = 0.99, inner: float = 0.95,
+) -> DataFrame:
+    """Density curves of the parameters, with the parts under the curve that plots shade.
+
+    ``points`` values ``x`` from the least to the largest draw, and ``density``, a Gaussian kernel
+    estimate with Silverman's bandwidth ``1.06 sd n^-0.2``. Draws are counted on the grid first, so
+    the curve is a convolution of at most ``points`` counts per parameter, whatever the draws.
+    ``part`` is ``inner`` or ``outer`` within the equal-tailed intervals, and ``tail`` beyond them.
+    Kernels end ``reach`` bandwidths away. A parameter without spread has one point with no density.
+    """
+    names = parameters(draws, pattern)
+    spans = _per_parameter(
+        draws, names, lo=F.min, hi=F.max, sd=F.stddev_samp, n=F.count
+    ).drop("position")
+    long = unpivot_draws(draws, names)
+    tails = {
+        "low_outer": (1 - outer) / 2, "low_inner": (1 - inner) / 2,
+        "high_inner": (1 + inner) / 2, "high_outer": (1 + outer) / 2,
+    }
+    # All tables below have one row per parameter, or one per parameter and grid point.
+    spans = spans.join(F.broadcast(exact_quantiles(long, ["name"], "value", tails)), "name").withColumns({
+        "step": (F.col("hi") - F.col("lo")) / (points - 1),
+        "width": 1.06 * F.col("sd") * F.pow(F.col("n"), F.lit(-0.2)),
+    })
+    spans = settle(spans)
+    at = F.when(F.col("step") > 0, F.round((F.col("value") - F.col("lo")) / F.col("step"))).otherwise(0)
+    counted = long.join(F.broadcast(spans.select("name", "lo", "step")), "name").groupBy(
+        "name", at.cast("int").alias("cell")
+    ).agg(F.count("value").alias("m"))
+    # Each count reaches the grid points within its kernel.
+    far = F.least(F.ceil(reach * F.col("width") / F.col("step")), F.lit(points)).cast("int")
+    spread = counted.join(F.broadcast(spans), "name").where("step > 0").select(
+        "name", "m", "cell", "step", "width", "n",
+        F.explode(F.sequence(
+            F.greatest(F.col("cell") - far, F.lit(0)), F.least(F.col("cell") + far, F.lit(points - 1))
+        )).alias("point"),
+    )
+    away = (F.col("point") - F.col("cell")) * F.col("step") / F.col("width")
+    kernel = F.exp(-away * away / 2) / (F.col("n") * F.col("width") * F.sqrt(F.lit(2 * math.pi)))
+    curve = spread.groupBy("name", "point").agg(F.sum(F.col("m") * kernel).alias("density"))
+    grid = spans.select("*", F.explode(F.sequence(
+        F.lit(0), F.when(F.col("step") > 0, points - 1).otherwise(0)
+    )).alias("point"))
+    x = F.col("lo") + F.col("point") * F.col("step")
+    within = lambda name: F.col("x").between(F.col(f"low_{name}"), F.col(f"high_{name}"))
+    return grid.join(curve, ["name", "point"], "left").withColumn("x", x).select(
+        "name", "point", "x",
+        F.when(F.col("step") > 0, F.coalesce("density", F.lit(0.0))).alias("density"),
+        F.when(within("inner"), "inner").when(within("outer"), "outer").otherwise("tail").alias("part"),
+    )
+
+
+def draw_trace(
+    draws: DataFrame, chain: str, order: str, pattern: str = "^b_|^sd_|^cor_", pixels: int = 200
+) -> DataFrame:
+    """What a trace plot of so many ``pixels`` shows of each chain and parameter.
+
+    A pixel column covers an equal stretch of the chain's positions (``order``, integers) and keeps
+    its first, last, least and largest draw; a draw that is several of these appears once. The
+    shape is exact, and a chain with no more positions than pixels keeps every draw. Draws that are
+    NULL are left out; of draws at one position the smallest comes first.
+    """
+    names = parameters(draws, pattern)
+    own = [_quoted(chain).alias("chain"), _quoted(order).cast("long").alias("position")]
+    long = draws.select(*own, *(_quoted(n) for n in names)).unpivot(
+        ["chain", "position"], [_quoted(n) for n in names], "name", "value"
+    ).where("value is not null")
+    # One row per chain.
+    ends = draws.select(*own).groupBy("chain").agg(F.min("position").alias("from"), F.max("position").alias("to"))
+    ends = ends.withColumnRenamed("chain", "of")
+    placed = long.join(F.broadcast(ends), F.col("chain").eqNullSafe(F.col("of")))
+    length = F.col("to") - F.col("from") + 1
+    pixel = F.when(length <= pixels, F.col("position") - F.col("from")).otherwise(
+        F.floor((F.col("position") - F.col("from")) * pixels / length)
+    ).cast("long")
+    in_time, by_value = F.struct("position", "value"), F.struct("value", "position")
+    kept = placed.groupBy("chain", "name", pixel.alias("pixel")).agg(
+        F.min(in_time).alias("a"), F.max(in_time).alias("b"), F.min(by_value).alias("c"), F.max(by_value).alias("d"),
+    )
+    draw = lambda c: F.struct(F.col(c)["position"].alias("position"), F.col(c)["value"].alias("value"))
+    return kept.select(
+        "chain", "name", "pixel", F.inline(F.array_distinct(F.array(*map(draw, "abcd"))))
+    )

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from statistics import NormalDist
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
@@ -39,6 +41,18 @@ def cell_counts(df: DataFrame, keys: Sequence[str], outcome: str = "correct") ->
     )
 
 
+def gram_matrix(columns: Sequence[Column], weight: Column) -> Column:
+    """Upper triangle, by rows, of the weighted products of columns: one mergeable aggregate."""
+    return F.array(*(F.sum(weight * a * b) for i, a in enumerate(columns) for b in columns[i:]))
+
+
+def whole_matrix(upper: Sequence[float], size: int) -> np.ndarray:
+    """The symmetric matrix of an upper triangle."""
+    made = np.zeros((size, size))
+    made[np.triu_indices(size)] = upper
+    return made + np.triu(made, 1).T
+
+
 def term_value(term: str) -> Column:
     return reduce(lambda a, b: a * b, (F.col(p).cast("double") for p in term.split(":")))
 
@@ -104,3 +118,49 @@ def fit_sources(
     return df.sparkSession.createDataFrame(
         rows, "sources string, formula string, term string, estimate double"
     )
+
+
+def design_gram(df: DataFrame, terms: Sequence[str], outcome: str = "correct") -> DataFrame:
+    """Products of the design's columns, intercept first, summed over complete rows.
+
+    One row per pair of terms, the upper triangle: ``row_term``, ``column_term``, ``total``. All
+    sums are one aggregate over counted cells, merged before the shuffle.
+    """
+    cells = cell_counts(df, term_parts(terms), outcome)
+    names = ["Intercept", *terms]
+    values = [F.lit(1.0), *map(term_value, terms)]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    total = cells.agg(gram_matrix(values, F.col("weight").cast("double")).alias("gram"))
+    return total.select(F.inline(F.array(*(
+        F.struct(
+            F.lit(names[i]).alias("row_term"), F.lit(names[j]).alias("column_term"),
+            F.coalesce(F.col("gram")[n], F.lit(0.0)).alias("total"),
+        )
+        for n, (i, j) in enumerate(pairs)
+    ))))
+
+
+def fit_with_errors(
+    df: DataFrame, terms: Sequence[str], outcome: str = "correct", prior_sd: float = PRIOR_SD,
+    level: float = 0.95,
+) -> DataFrame:
+    """``fit_map_logit`` with ``std_error`` and the ends ``low`` and ``high`` of normal intervals.
+
+    The errors come from the inverse of the weighted products of the design at the estimates, with
+    the slopes' prior added: one aggregate over the cells, and a matrix as wide as the formula.
+    """
+    cells = settle(cell_counts(df, term_parts(terms), outcome))
+    fitted = fit_cells(cells, terms, outcome, prior_sd)
+    estimates = [b for _, b in fitted]
+    values = [F.lit(1.0), *map(term_value, terms)]
+    z = reduce(lambda a, b: a + b, (v * b for v, b in zip(values, estimates)))
+    chance = 1 / (1 + F.exp(-z))
+    weight = F.col("weight") * chance * (1 - chance)
+    upper = cells.agg(gram_matrix(values, weight).alias("gram")).first().gram
+    curve = whole_matrix(upper, len(values)) + np.diag([0.0, *[prior_sd**-2.0] * len(terms)])
+    errors = np.sqrt(np.diag(np.linalg.inv(curve)))
+    far = NormalDist().inv_cdf((1 + level) / 2)
+    return df.sparkSession.createDataFrame(
+        [(t, b, float(e), b - far * float(e), b + far * float(e)) for (t, b), e in zip(fitted, errors)],
+        "term string, estimate double, std_error double, low double, high double",
+    )

@@ -357,3 +357,14 @@ def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(F.col("embedding")[i].cast("double").alias(name)
           for i, name in enumerate(draw_names(width)))
     )
+
+
+def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The draws as four chains by turns."""
+    vectors = table(spark, sf_dir, "embeddings")
+    width = vectors.agg(F.max(F.size("embedding"))).first()[0]
+    return vectors.select(
+        (F.col("vec_id") % 4).alias("chain"), F.floor(F.col("vec_id") / 4).alias("iteration"),
+        *(F.col("embedding")[i].cast("double").alias(name)
+          for i, name in enumerate(draw_names(width)))
+    )

@@ -642,12 +642,33 @@ def draw_histogram(spark, sf_dir):
     return draws.draw_histogram(A.draws(spark, sf_dir))
 
 
+@query
+def draw_density(spark, sf_dir):
+    return draws.draw_density(A.draws(spark, sf_dir))
+
+
+@query
+def draw_trace(spark, sf_dir):
+    return draws.draw_trace(A.chains(spark, sf_dir), "chain", "iteration", pattern="^b_", pixels=50)
+
+
+@query
+def design_gram(spark, sf_dir):
+    return fit.design_gram(A.accuracy(spark, sf_dir), fit.CROSSED)
+
+
 @query
 def fit_map_logit(spark, sf_dir):
     terms = contrasts.term_names(["voice_n", "data_source_n", "target_response_n"])
     return fit.fit_map_logit(A.accuracy(spark, sf_dir), terms)
 
 
+@query
+def fit_standard_errors(spark, sf_dir):
+    terms = contrasts.term_names(["voice_n", "data_source_n", "target_response_n"])
+    return fit.fit_with_errors(A.accuracy(spark, sf_dir), terms)
+
+
 @query
 def fit_sources(spark, sf_dir):
     return fit.fit_sources(A.accuracy(spark, sf_dir))

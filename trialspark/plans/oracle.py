@@ -409,6 +409,13 @@ def _upper_tail(statistic: str) -> str:
         ELSE {tail} / {x} / {fraction} END, 'Infinity'::DOUBLE), 6)"""
 
 
+DESIGN = [
+    ("Intercept", "1.0"), ("voice_n", V), ("data_source_n", D), ("target_response_n", R),
+    ("voice_n:data_source_n", f"({V}) * ({D})"), ("voice_n:target_response_n", f"({V}) * ({R})"),
+    ("data_source_n:target_response_n", f"({D}) * ({R})"),
+    ("voice_n:data_source_n:target_response_n", f"({V}) * ({D}) * ({R})"),
+]
+
 SELECTS = {
     "project_range": "SELECT subject, item, word, response AS answer, correct FROM tr",
     "tag_source": f"""SELECT event_id, user_id, CAST(NULL AS BOOLEAN) AS correct_pre_training,
@@ -706,6 +713,36 @@ SELECTS = {
         AS BIGINT) AS bin, count(*) AS n, round(min(lo), 6) AS lo, round(min(hi), 6) AS hi
         FROM draw_long JOIN (SELECT name, min(x) AS lo, max(x) AS hi FROM draw_long
           GROUP BY name) USING (name) GROUP BY 1, 2""",
+    "draw_density": r"""WITH sp AS (
+          SELECT name, lo, (hi - lo) / 127 AS step, 1.06 * sd * pow(n, -0.2) AS width, n, q FROM (
+            SELECT name, min(x) AS lo, max(x) AS hi, stddev_samp(x) AS sd, count(x) AS n,
+              quantile_cont(x, [0.005, 0.025, 0.975, 0.995]) AS q
+            FROM draw_long WHERE name LIKE 'b\_%' ESCAPE '\' AND name <> 'b_Intercept' GROUP BY name)),
+        cells AS (SELECT name, CAST(round((x - lo) / step) AS INT) AS cell, count(*) AS m
+          FROM draw_long JOIN sp USING (name) GROUP BY ALL),
+        grid AS (SELECT *, lo + point * step AS x FROM sp, (SELECT unnest(range(128))::INT AS point))
+        SELECT name, point, round(x, 6) AS x,
+          round(coalesce(sum(m * exp(-pow((point - cell) * step / width, 2) / 2)
+            / (n * width * sqrt(2 * pi()))) FILTER (abs(point - cell) <= ceil(3 * width / step)), 0), 6) AS density,
+          CASE WHEN x BETWEEN q[2] AND q[3] THEN 'inner' WHEN x BETWEEN q[1] AND q[4] THEN 'outer'
+            ELSE 'tail' END AS part
+        FROM grid JOIN cells USING (name) GROUP BY ALL""",
+    "draw_trace": r"""WITH d AS (SELECT vec_id % 4 AS chain, vec_id // 4 AS position, name, x AS value
+          FROM draw_long WHERE name LIKE 'b\_%' ESCAPE '\'),
+        p AS (SELECT d.*, CASE WHEN b - a + 1 <= 50 THEN position - a
+              ELSE ((position - a) * 50) // (b - a + 1) END AS pixel
+          FROM d JOIN (SELECT chain, min(position) AS a, max(position) AS b FROM d GROUP BY chain) USING (chain))
+        SELECT DISTINCT chain, name, pixel, position, round(value, 6) AS value FROM (
+          SELECT *, row_number() OVER (PARTITION BY chain, name, pixel ORDER BY position) AS i1,
+            row_number() OVER (PARTITION BY chain, name, pixel ORDER BY position DESC) AS i2,
+            row_number() OVER (PARTITION BY chain, name, pixel ORDER BY value, position) AS i3,
+            row_number() OVER (PARTITION BY chain, name, pixel ORDER BY value DESC, position DESC) AS i4
+          FROM p) WHERE 1 IN (i1, i2, i3, i4)""",
+    "design_gram": "SELECT * FROM (" + " UNION ALL ".join(
+        f"""SELECT '{a}' AS row_term, '{b}' AS column_term,
+          CAST(sum(({x}) * ({y})) AS DOUBLE) AS total FROM exp WHERE correct IS NOT NULL"""
+        for i, (a, x) in enumerate(DESIGN) for b, y in DESIGN[i:]
+    ) + ")",
     "assign_words": """SELECT subject, item, p_name || ' ' || i AS word,
         CASE WHEN i < 6 THEN '[subj]' ELSE '[obj]' END AS target_response FROM (
           SELECT subject, item, CAST('0x' || substr(md5('0|' || subject || '|' || item), 1, 8)
