@@ -60,6 +60,58 @@ def test_recall(spark):
     assert len({r[0::2][:2] for r in found} & expected) >= 0.9 * len(expected)
 
 
+@pytest.mark.parametrize("kind", ["even", "lognormal", "one long", "far apart"])
+@pytest.mark.parametrize("dim,n", [(64, 20_000), (384, 8_000)])
+def test_tables_meet_the_nearest_for_any_norms(kind, dim, n):
+    """Production parameters; ``far apart`` has norms over 60 powers of ten."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "lognormal":
+        x *= rng.lognormal(0, 0.3, (n, 1))
+    elif kind == "one long":
+        x[0] *= 10
+    elif kind == "far apart":
+        x *= 10.0 ** rng.integers(-30, 30, (n, 1))
+    q = x[1:31]
+    nearest = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :20]
+    norms = np.log(np.linalg.norm(x, axis=1))
+    bands = np.floor(norms / np.log(ann.RATIO) + 0.5).astype(int)
+    plans = ann.norm_groups(
+        [(dim, int(b), int((bands == b).sum()), norms[bands == b].max()) for b in np.unique(bands)], 200, 6, 16
+    )
+    place, tables = plans[dim]
+    group = np.array([place[b] for b in bands])
+    met = np.zeros((len(q), n), bool)
+    for i, table in enumerate(tables):
+        at = np.flatnonzero(group == i)
+        cells, looks = np.concatenate([table.cells(x[part]) for part in np.array_split(at, len(at) // 500 + 1)]), table.looks(q)
+        for j in range(len(q)):
+            for t in range(table.used):
+                met[j, at] |= np.isin(cells[:, t], looks[j, t])
+    assert np.take_along_axis(met, nearest, 1).mean() >= 0.9
+
+
+def test_more_vectors_have_finer_cells_and_a_smaller_share_met():
+    looked = []
+    for count in (20_000, 200_000, 2_000_000, 20_000_000):
+        table = ann.Tables(64, 1.0, count)
+        cells = 2 * table.first * max(1, 2 * table.second)
+        assert count / cells <= 1.6 * table.fill or table.second == table.width
+        looked.append(table.looked / cells)
+    assert looked == sorted(looked, reverse=True) and looked[-1] < 0.2 * looked[0]
+
+
+def test_uneven_norms_end_to_end(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 24)) * rng.lognormal(0, 1.0, (3000, 1))
+    x[5] *= 1e6
+    rows = [(i, v.astype("f4").tolist()) for i, v in enumerate(x)]
+    found = as_rows(ann.nearest(frame(spark, rows), F.col("vec_id") % 20 == 0, fill=40))
+    expected = brute(valid(rows, 24), 20, 20, lambda a, b: float(a @ b))
+    assert len({r[0::2][:2] for r in found} & {r[0::2][:2] for r in expected}) >= 0.9 * len(expected)
+
+
 def test_few_found_are_filled_up(spark):
     rows = awkward(np.random.default_rng(5))
     found = as_rows(ann.nearest(frame(spark, rows), F.col("vec_id") % 20 == 0, k=50, tables=1, probes=1, fill=2))

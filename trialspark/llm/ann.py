@@ -20,20 +20,28 @@ from trialspark.llm.common import settle, ship
 
 CANDIDATES = 4096  # candidates in one block
 QUERIES = 1024  # queries in one block
+RATIO = 1.5  # norms of one band of vectors differ by at most this factor
+TURNED = 1 << 20  # numbers of one turn of a batch, over all tables
+CELLS = 1 << 18  # cells whose sizes are broadcast
 
 
 @dataclass(frozen=True)
 class Tables:
-    """Hash tables for vectors of ``dim`` numbers and norm at most ``longest``.
+    """Hash tables for ``count`` vectors of ``dim`` numbers and norm at most ``longest``.
 
     The inner product is reduced to an angle by one more number that fills every vector up to
-    the longest norm. A table has ``axes`` of the turned axes in each direction, all of them at
-    most; with fewer axes cells are larger, which suits small collections.
+    the longest norm. A cell is the nearest of ``first`` turned axes, in either direction; where
+    all axes are in use and cells would still hold more than about ``fill`` vectors, it is the
+    pair with the nearest of ``second`` axes of another rotation. A query looks into
+    ``probes`` cells of a table, and into more for long vectors and many cells, growing with the
+    power 2/3 of the cells, so the share of the vectors that it meets falls as they become
+    more. Where it looks into every cell, one table is enough.
     """
 
     dim: int
     longest: float
-    axes: int
+    count: int
+    fill: int = 200
     tables: int = 6
     probes: int = 16
     seed: int = 13
@@ -42,14 +50,37 @@ class Tables:
     def width(self) -> int:
         return 1 << max(1, self.dim.bit_length())
 
-    def turned(self, x: np.ndarray) -> np.ndarray:
+    @property
+    def first(self) -> int:
+        return min(self.width, max(1, self.count // (2 * self.fill)))
+
+    @property
+    def second(self) -> int:
+        """Axes of the second rotation; 0 if there is none."""
+        return min(self.width, round(self.count / (4 * self.fill * self.width)))
+
+    @property
+    def looked(self) -> int:
+        """Cells of a table that a query looks into."""
+        axes = self.first * max(1, 2 * self.second)
+        # The second axis is one of few, so its nearest says less.
+        least = self.probes * (1.25 if self.second else 1.0)
+        wanted = math.ceil(least * (axes / self.width) ** (2 / 3) * self.width / 128)
+        return min(2 * axes, max(self.probes, wanted))
+
+    @property
+    def used(self) -> int:
+        axes = self.first * max(1, 2 * self.second)
+        return 1 if self.looked == 2 * axes else self.tables
+
+    def turned(self, x: np.ndarray, level: int) -> np.ndarray:
         """Turned vectors by table, vector and axis; x has ``width`` columns."""
-        rng = np.random.default_rng(self.seed)
-        signs = rng.choice([-1.0, 1.0], (self.tables, 3, self.width))
-        out = np.repeat(x[None], self.tables, axis=0)
+        rng = np.random.default_rng([self.seed, level])
+        signs = rng.choice([-1.0, 1.0], (self.tables, 3, self.width))[: self.used]
+        out = np.repeat(x[None], self.used, axis=0)
         for turn in range(3):
             out = hadamard(out * signs[:, turn, None, :])
-        return out[:, :, : self.axes]
+        return out
 
     def _wide(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), self.width))
@@ -60,18 +91,35 @@ class Tables:
         """Cell of every vector (rows) in every table (columns)."""
         wide = self._wide(x / self.longest)
         wide[:, self.dim] = np.sqrt(np.maximum(0, 1 - (wide**2).sum(axis=1)))
-        axes = self.turned(wide)
-        best = np.abs(axes).argmax(axis=2)
-        sign = np.take_along_axis(axes, best[:, :, None], 2)[:, :, 0] < 0
-        return (2 * best + sign).T
+        cell = nearest_axis(self.turned(wide, 0)[:, :, : self.first])
+        if self.second:
+            cell = cell * 2 * self.second + nearest_axis(self.turned(wide, 1)[:, :, : self.second])
+        return cell.T
 
     def looks(self, q: np.ndarray) -> np.ndarray:
         """Cells to look into, by query, table and probe, the best first."""
         wide = self._wide(q / np.linalg.norm(q, axis=1, keepdims=True))
-        axes = self.turned(wide)
-        both = np.stack([axes, -axes], axis=3).reshape(*axes.shape[:2], -1)
-        most = min(self.probes, both.shape[2])
-        return np.argsort(-both, axis=2, kind="stable")[:, :, :most].transpose(1, 0, 2)
+        value, cell = best_axes(self.turned(wide, 0)[:, :, : self.first], self.looked)
+        if self.second:
+            more, other = best_axes(self.turned(wide, 1)[:, :, : self.second], self.looked)
+            value = (value[..., :, None] + more[..., None, :]).reshape(*value.shape[:2], -1)
+            cell = (cell[..., :, None] * 2 * self.second + other[..., None, :]).reshape(value.shape)
+            order = np.argsort(-value, axis=2, kind="stable")[:, :, : self.looked]
+            cell = np.take_along_axis(cell, order, 2)
+        return cell.transpose(1, 0, 2)
+
+
+def nearest_axis(axes: np.ndarray) -> np.ndarray:
+    """Number of the nearest signed axis along the last one: twice the axis, and 1 if negative."""
+    best = np.abs(axes).argmax(axis=-1)
+    return 2 * best + (np.take_along_axis(axes, best[..., None], -1)[..., 0] < 0)
+
+
+def best_axes(axes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values and numbers of the ``most`` nearest signed axes, the best first."""
+    both = np.stack([axes, -axes], axis=-1).reshape(*axes.shape[:-1], -1)
+    order = np.argsort(-both, axis=-1, kind="stable")[..., :most]
+    return np.take_along_axis(both, order, -1), order
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -181,6 +229,33 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     )
 
 
+def norm_groups(
+    bands: Iterable[tuple[int, int, int, float]], fill: int, tables: int, probes: int
+) -> dict[int, tuple[dict[int, int], list[Tables]]]:
+    """By length, the number of the group of each band and the tables of each group.
+
+    Gets length, band, count and logarithm of the longest norm. Bands are taken from the longest
+    on. A band of its own has norms of one size; neighbours so few that a query looks into all
+    their cells are one group.
+    """
+    groups: dict[int, list[list]] = {}
+    for dim, band, count, longest in sorted(bands, reverse=True):
+        own = groups.setdefault(dim, [])
+        if own and own[-1][1] + count <= 4 * fill:
+            own[-1][0].append(band)
+            own[-1][1] += count
+            own[-1][2] = max(own[-1][2], longest)
+        else:
+            own.append([[band], count, longest])
+    return {
+        dim: (
+            {band: i for i, group in enumerate(own) for band in group[0]},
+            [Tables(dim, math.exp(min(top, 709.0)), count, fill, tables, probes) for _, count, top in own],
+        )
+        for dim, own in groups.items()
+    }
+
+
 def nearest(
     vectors: DataFrame, asked: Column, k: int = 20, tables: int = 6, probes: int = 16,
     fill: int = 200, vector: str = "embedding", key: str = "vec_id",
@@ -188,9 +263,11 @@ def nearest(
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of the k nearest found for each query.
 
     ``asked`` says which rows are queries; candidates are all rows but the query's own, and
-    nearest means the largest inner product. Cells hold about ``fill`` vectors until every
-    axis is in use; recall falls with fewer ``tables`` or ``probes``. A query that finds fewer
-    than k is held against all vectors in blocks, so it gets k if there are so many.
+    nearest means the largest inner product. Vectors whose norms differ by more than a factor of
+    ``RATIO`` have tables of their own, as a filler to a much longer norm would hide their
+    direction; a query looks into the tables of every group. Cells hold about ``fill`` vectors;
+    recall falls with fewer ``tables`` or ``probes``. A query that finds fewer than k is held
+    against all vectors in blocks, so it gets k if there are so many.
 
     Vectors are searched among those of their own length. Those that are missing, zero, or hold
     a missing or non-finite number take no part, nor do rows without a key. Repeated rows count
@@ -204,58 +281,92 @@ def nearest(
         F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"),
         F.coalesce(asked, F.lit(False)).alias("asks"),
     )
-    rows = settle(one_each(rows))
-    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
-    lengths = rows.groupBy("dim").agg(
-        F.count("*").alias("count"), F.sqrt(F.max(square)).alias("longest"), F.count_if("asks").alias("queries")
-    ).orderBy("dim").collect()
-    if not lengths:
+    most = F.array_max(F.transform("vector", F.abs))
+    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + (x / most) * (x / most))
+    norm = F.log(most) + F.log(square) / 2
+    rows = settle(
+        one_each(rows).withColumn("norm", norm)
+        .withColumn("band", F.floor(F.col("norm") / math.log(RATIO) + 0.5).cast("int"))
+    )
+    # Norms of doubles fall into a few thousand bands at most.
+    bands = rows.groupBy("dim", "band").agg(
+        F.count("*").alias("count"), F.max("norm").alias("longest"), F.count_if("asks").alias("queries")
+    ).collect()
+    if not bands:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    plans = {}
-    for r in lengths:
-        axes = min(1 << max(1, r.dim.bit_length()), max(1, r["count"] // (2 * fill)))
-        plans[r.dim] = Tables(r.dim, r.longest, axes, tables, probes)
+    plans = norm_groups(((r.dim, r.band, r["count"], r.longest) for r in bands), fill, tables, probes)
 
     def hashed(batches):
-        for batch in batches:
-            n = batch.num_rows
-            dims = batch["dim"].to_numpy()
-            asks = batch["asks"].to_numpy(zero_copy_only=False)
-            cells: list[list[int] | None] = [None] * n
-            looks: list[list[list[int]] | None] = [None] * n
-            for dim in np.unique(dims):
-                at = np.flatnonzero(dims == dim)
-                x = matrix(batch["vector"].take(pa.array(at)), dim)
-                for i, own in zip(at, plans[dim].cells(x)):
-                    cells[i] = own.tolist()
-                if asks[at].any():
-                    for i, own in zip(at[asks[at]], plans[dim].looks(x[asks[at]])):
-                        looks[i] = own.tolist()
-            yield pa.RecordBatch.from_arrays(
-                [batch["id"], batch["vector"], batch["dim"], pa.array(cells, pa.list_(pa.int32())),
-                 pa.array(looks, pa.list_(pa.list_(pa.int32())))],
-                ["id", "vector", "dim", "cells", "looks"],
-            )
-
-    placed = rows.mapInArrow(
-        hashed, "id long, vector array<double>, dim int, cells array<int>, looks array<array<int>>"
+        for whole in batches:
+            # Turned vectors of all tables stay within some tens of megabytes.
+            widest = max((plans[d][1][0].width for d in set(whole["dim"].to_pylist())), default=1)
+            most_rows = max(1, TURNED // (tables * widest))
+            for start in range(0, whole.num_rows, most_rows):
+                yield _hash(whole.slice(start, most_rows), plans)
+
+    placed = rows.select("id", "vector", "dim", "band", "asks").mapInArrow(
+        hashed,
+        "id long, vector array<double>, dim int, grp int, cells array<int>, "
+        "looks array<struct<grp:int,tab:int,cell:int>>",
     )
-    has = placed.select("dim", "id", "vector", F.posexplode("cells").alias("tab", "cell")).select(
-        "dim", "tab", "cell", F.lit(1).alias("side"), "id", "vector"
+    has = placed.select("dim", "grp", "id", "vector", F.posexplode("cells").alias("tab", "cell")).select(
+        "dim", "grp", "tab", "cell", F.lit(1).alias("side"), "id", "vector"
     )
     asks = placed.where("looks is not null").select(
-        "dim", "id", "vector", F.posexplode("looks").alias("tab", "own")
-    ).select("dim", "tab", F.explode("own").alias("cell"), F.lit(0).alias("side"), "id", "vector")
+        "dim", "id", "vector", F.explode("looks").alias("own")
+    ).select("dim", "own.*", F.lit(0).alias("side"), "id", "vector")
+    asks = asks.select(*has.columns)
     both = has.union(asks)
-    # Cells are few, whatever the collection, so their sizes can be broadcast. Both sides of a
-    # cell are dealt into parts, so that a cell with very many vectors is many blocks.
-    keys = ["dim", "tab", "cell"]
+    # Cells are few beside the vectors: one for some hundreds of them. Both sides of a cell are
+    # dealt into parts, so that a cell with very many vectors is many blocks.
+    keys = ["dim", "grp", "tab", "cell"]
     sizes = settle(both.groupBy(*keys).agg(
         F.ceil(F.greatest(F.lit(1), F.count_if(F.col("side") == 1)) / CANDIDATES).alias("ours"),
         F.ceil(F.greatest(F.lit(1), F.count_if(F.col("side") == 0)) / QUERIES).alias("theirs"),
     ))
-    counts = [(r.dim, r["count"], r.queries) for r in lengths]
-    return _answer(rows, blocked(both.join(F.broadcast(sizes), keys), keys), k, counts)
+    counts: dict[int, list[int]] = {}
+    for r in bands:
+        own = counts.setdefault(r.dim, [0, 0])
+        own[0] += r["count"]
+        own[1] += r.queries
+    # Eight long numbers a cell: broadcast only while that is small.
+    sizes = F.broadcast(sizes) if sizes.count() <= CELLS else sizes
+    return _answer(
+        rows, blocked(both.join(sizes, keys), keys), k, [(d, n, q) for d, (n, q) in sorted(counts.items())]
+    )
+
+
+def _hash(
+    batch: pa.RecordBatch, plans: dict[int, tuple[dict[int, int], list[Tables]]]
+) -> pa.RecordBatch:
+    """Group and cells of every vector, and for queries the cells to look into."""
+    n = batch.num_rows
+    dims, bands = batch["dim"].to_numpy(), batch["band"].to_numpy()
+    asks = batch["asks"].to_numpy(zero_copy_only=False)
+    groups = np.zeros(n, "i4")
+    cells: list[list[int] | None] = [None] * n
+    looks: list[list[dict] | None] = [[] if a else None for a in asks]
+    for dim in np.unique(dims):
+        place, tables = plans[dim]
+        at = np.flatnonzero(dims == dim)
+        x = matrix(batch["vector"].take(pa.array(at)), dim)
+        groups[at] = [place[b] for b in bands[at].tolist()]
+        for i, table in enumerate(tables):
+            here = groups[at] == i
+            if here.any():
+                for row, own in zip(at[here], table.cells(x[here])):
+                    cells[row] = own.tolist()
+            if asks[at].any():
+                for row, own in zip(at[asks[at]], table.looks(x[asks[at]])):
+                    looks[row] += [
+                        {"grp": i, "tab": t, "cell": c} for t, some in enumerate(own.tolist()) for c in some
+                    ]
+    look = pa.struct([("grp", pa.int32()), ("tab", pa.int32()), ("cell", pa.int32())])
+    return pa.RecordBatch.from_arrays(
+        [batch["id"], batch["vector"], batch["dim"], pa.array(groups),
+         pa.array(cells, pa.list_(pa.int32())), pa.array(looks, pa.list_(look))],
+        ["id", "vector", "dim", "grp", "cells", "looks"],
+    )
 
 
 def blocked(rows: DataFrame, keys: list[str]) -> DataFrame:
