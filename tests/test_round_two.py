@@ -150,6 +150,54 @@ def test_nested_long_equals_the_wide_form(spark):
     assert got[2, "v_i_n_f_i_n_g", ("b", None)] == -0.5 and len(got) == 12
 
 
+def sparse_rows(spark, n=400):
+    rng = np.random.default_rng(8)
+    rows = [
+        (i, float(rng.normal()) if i % 17 else None, float(i % 3), "abc"[rng.integers(3)], int(rng.integers(30)),
+         None if i % 11 == 0 else "xy"[i % 2])
+        for i in range(n)
+    ]
+    return spark.createDataFrame(rows, "k long, v double, w double, f string, g int, `h.i` string")
+
+
+def test_sparse_vectors_equal_the_rows_of_nested_long(spark):
+    df = sparse_rows(spark).withColumnRenamed("h.i", "h")
+    columns, factors = ["v", "w"], ["f", "g", "h"]
+    dictionary = contrasts.level_dictionary(df, columns, factors)
+    slots = {r["slot"]: (r["contrast"], tuple(r["levels"])) for r in dictionary.collect()}
+    assert sorted(slots) == list(range(len(slots)))
+    order = [(c, tuple((x is not None, x or "") for x in t)) for c, t in (slots[i] for i in range(len(slots)))]
+    assert order == sorted(order)
+    out = contrasts.nested_sparse(df, columns, factors, dictionary)
+    assert out.columns == [*df.columns, "nested"]
+    got, rows = {}, out.collect()
+    for r in rows:
+        assert len(r["nested"]) == 14 and [e["slot"] for e in r["nested"]] == sorted(e["slot"] for e in r["nested"])
+        got.update({(r["k"], *slots[e["slot"]]): e["value"] for e in r["nested"]})
+    dense = contrasts.nested_long(df, ["k"], columns, factors)
+    expected = {(r["k"], r["contrast"], tuple(r["levels"])): r["value"] for r in dense.collect()}
+    assert len(rows) == 400 and set(got) <= set(expected)
+    assert all(got.get(key, 0.0) == value for key, value in expected.items())
+
+
+def test_sparse_vectors_need_no_cross_join(spark):
+    df = sparse_rows(spark)
+    dictionary = contrasts.level_dictionary(df, ["v"], ["f", "g", "h.i"])
+    plan = contrasts.nested_sparse(df, ["v"], ["f", "g", "h.i"], dictionary)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "HashJoin" in plan
+
+
+def test_sparse_vectors_of_unknown_levels_and_empty_tables(spark):
+    df = sparse_rows(spark).select("k", "v", "f")
+    known = contrasts.level_dictionary(df.where("f = 'a'"), ["v"], ["f"])
+    sizes = {(r["f"], len(r["nested"])) for r in contrasts.nested_sparse(df, ["v"], ["f"], known).collect()}
+    assert sizes == {("a", 1), ("b", 0), ("c", 0)}
+    empty = contrasts.level_dictionary(df.limit(0), ["v"], ["f"])
+    assert empty.count() == 0 and contrasts.nested_sparse(df.limit(0), ["v"], ["f"], empty).count() == 0
+    alone = contrasts.level_dictionary(df, ["f"], ["f"])
+    assert alone.count() == 0
+
+
 def test_stacked_stages_have_a_display_order(spark):
     rows = spark.createDataFrame(
         [(s,) for s in ["BERT (pre-fine-tuning)", "People", "BERT (fine-tuned)"]], "data_source string"

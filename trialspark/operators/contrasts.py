@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from itertools import combinations, product
 from math import prod
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from trialspark.functions.nulls import same
+from trialspark.operators.joins import lookup
+from trialspark.session import settle
 
 # Separators of generated column names.
 NESTING = "_i_n_"
@@ -101,6 +103,79 @@ def nested_long(
     return long
 
 
+def _nestings(columns: Sequence[str], factors: Sequence[str]) -> list[tuple[str, str, tuple]]:
+    """Name, column and factors of every nested contrast."""
+    return [
+        (NESTING.join((column, *chosen)), column, chosen)
+        for column in columns
+        for size in range(1, len(factors) + 1)
+        for chosen in combinations([f for f in factors if f != column], size)
+    ]
+
+
+def level_dictionary(
+    df: DataFrame, columns: Sequence[str], factors: Sequence[str]
+) -> DataFrame:
+    """``contrast``, ``levels`` and ``slot`` of every nested contrast that occurs.
+
+    Slots count from 0 in the order of contrast and levels, so they depend on the data alone.
+    Rows are read once for their distinct tuples of all factors. Tuples are numbered within
+    partitions of one sorted table, and a table with a row per partition carries the totals.
+    """
+    tuples = settle(df.select(*(F.col(f"`{f}`").cast("string").alias(f) for f in factors)).distinct())
+    parts = [
+        tuples.select(F.lit(name).alias("contrast"), F.array(*(F.col(f"`{f}`") for f in chosen)).alias("levels"))
+        .distinct()
+        for name, _, chosen in _nestings(columns, factors)
+    ]
+    if not parts:
+        return df.sparkSession.createDataFrame([], "contrast string, levels array<string>, slot bigint")
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.union(part)
+    placed = settle(
+        every.orderBy("contrast", "levels").withColumn("_id", F.monotonically_increasing_id())
+    )
+    # An id is the partition's number in the upper bits and the place in it in the lower 33.
+    placed = placed.withColumn("_part", F.shiftright("_id", 33))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    return settle(
+        lookup(placed, starts, ["_part"]).select(
+            "contrast", "levels",
+            (F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).alias("slot"),
+        )
+    )
+
+
+def nested_sparse(
+    df: DataFrame, columns: Sequence[str], factors: Sequence[str], dictionary: DataFrame,
+    name: str = "nested",
+) -> DataFrame:
+    """The nested contrasts of each row as one sparse vector ``name``.
+
+    The vector is an array of ``slot`` and ``value`` by slot: one entry per contrast, in the slot
+    that ``dictionary`` gives to the row's own levels; every other slot is 0. A missing value stays
+    missing, and levels that the dictionary lacks have no entry. The size of a row does not
+    depend on the number of levels, and each contrast is one join of the dictionary.
+    """
+    own = {f: f"_own_{i}" for i, f in enumerate(factors)}
+    rows = df.withColumns({o: F.col(f"`{f}`").cast("string") for f, o in own.items()})
+    entries = []
+    for i, (contrast, column, chosen) in enumerate(_nestings(columns, factors)):
+        table = dictionary.where(F.col("contrast") == contrast).select(
+            *(F.col("levels")[j].alias(own[f]) for j, f in enumerate(chosen)), F.col("slot").alias(f"_slot_{i}")
+        )
+        rows = lookup(rows, table, [own[f] for f in chosen], settled=True)
+        entries.append(F.struct(
+            F.col(f"_slot_{i}").alias("slot"), F.col(f"`{column}`").cast("double").alias("value")
+        ))
+    kind = "array<struct<slot:bigint,value:double>>"
+    vector = F.array_sort(F.filter(F.array(*entries).cast(kind), lambda e: e["slot"].isNotNull()))
+    return rows.select(*(F.col(f"`{c}`") for c in df.columns if c != name), vector.alias(name))
+
+
 def term_names(contrasts: Sequence[str]) -> list[str]:
     """Terms of the full crossing, ``a*b*c``: main effects first, then interactions."""
     return [

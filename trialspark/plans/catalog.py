@@ -17,6 +17,7 @@ from trialspark.operators.joins import lookup
 from trialspark.plans import adapters as A
 from trialspark.session import settle, shared_folder
 from trialspark.sources import readers, writers
+from trialspark.streaming import gate
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -259,6 +260,17 @@ def training_gate(spark, sf_dir):
     return A.gate_drops(spark, sf_dir).transform(prep.training_gate)
 
 
+@query
+def training_gate_online(spark, sf_dir):
+    """The drops arrive in three parts, each after the stream has dealt with the one before."""
+    drops, root = A.gate_drops(spark, sf_dir), scratch(spark)
+    for part in range(3):
+        drops.where(F.pmod(F.xxhash64("row_id"), F.lit(3)) == part).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(drops.schema).parquet(f"{root}/in")
+        gate.follow_gate(stream, f"{root}/firsts", f"{root}/state", once=True).awaitTermination()
+    return gate.current_gate(spark, f"{root}/firsts")
+
+
 @query
 def trials_wide(spark, sf_dir):
     return A.trial_log(spark, sf_dir).transform(prep.build_trials)
@@ -333,6 +345,17 @@ def nested_long(spark, sf_dir):
     )
 
 
+@query
+def nested_sparse(spark, sf_dir):
+    rows, columns, factors = A.accuracy(spark, sf_dir), ["voice_n"], ["target_response", "data_source"]
+    dictionary = contrasts.level_dictionary(rows, columns, factors)
+    entries = contrasts.nested_sparse(rows, columns, factors, dictionary).select(F.explode("nested").alias("entry"))
+    sums = entries.groupBy("entry.slot").agg(F.sum("entry.value").alias("value"), F.count(F.lit(1)).alias("n"))
+    return dictionary.join(sums, "slot").select(
+        "contrast", F.array_join("levels", ", ").alias("levels"), "slot", "value", "n"
+    )
+
+
 @query
 def assign_practice_words(spark, sf_dir):
     words = [f"word_{i}" for i in range(8)]

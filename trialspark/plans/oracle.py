@@ -766,6 +766,14 @@ SELECTS = {
         UNION ALL SELECT subject, 'voice_n_i_n_target_response_i_n_data_source',
           b.tr || ', ' || b.ds, sum(CASE WHEN r.tr = b.tr AND r.ds = b.ds THEN v ELSE 0 END)
           FROM r, b GROUP BY ALL""",
+    "nested_sparse": f"""WITH r AS (SELECT CAST({V} AS DOUBLE) AS v, data_source AS ds,
+          CASE WHEN to_subject THEN 'Subject target' ELSE 'Object target' END AS tr FROM exp),
+        e AS (SELECT 'voice_n_i_n_target_response' AS contrast, [tr] AS own, v FROM r
+          UNION ALL SELECT 'voice_n_i_n_data_source', [ds], v FROM r
+          UNION ALL SELECT 'voice_n_i_n_target_response_i_n_data_source', [tr, ds], v FROM r)
+        SELECT contrast, array_to_string(own, ', ') AS levels,
+          row_number() OVER (ORDER BY contrast, own) - 1 AS slot, sum(v) AS value, count(*) AS n
+        FROM e GROUP BY contrast, own""",
     "assign_practice_words": """SELECT subject, item, p_name || ' ' || i AS word,
         CASE WHEN i < 4 THEN '[subj]' ELSE '[obj]' END AS target_response FROM (
           SELECT subject, item, CAST('0x' || substr(md5('0|' || subject || '|' || item), 1, 8)
@@ -785,6 +793,9 @@ def statement(name: str) -> str:
     ctes = ",\n".join(f"{cte} AS ({body})" for cte, body in CTES.items())
     return f"WITH {ctes}\nSELECT * FROM ({SELECTS[name]})"
 
+# The online criterion is the same table.
+SELECTS["training_gate_online"] = SELECTS["training_gate"]
+
 
 def statements() -> dict[str, str]:
     return {name: statement(name) for name in SELECTS}
