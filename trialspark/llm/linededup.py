@@ -12,6 +12,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from trialspark.llm.common import settle
+
 BLANK = " \t\r"
 
 
@@ -73,8 +75,9 @@ def drop_repeated_runs(
         .select(place.alias("place"), "run.w1", "run.w2")
     )
     # Partial minima and maxima are taken before the shuffle, so a very common run is one row
-    # per task; the join is on single rows per run, and adaptive execution splits common runs.
-    firsts = (
+    # per task. They are settled, so that both sides of the join have a shuffle of their own and
+    # adaptive execution can split the occurrences of a common run.
+    firsts = settle(
         runs.groupBy("w1", "w2")
         .agg(F.min("place").alias("first"), F.max("place").alias("last"))
         .where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
