@@ -1,9 +1,11 @@
 """Counting, encoding, language, personal data, secrets, lines and packing on awkward tables."""
 
+import base64
 import hashlib
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -195,6 +197,17 @@ def plain_secrets(text):
     return sorted(found, key=lambda s: (s[1], secretscan.KINDS.index(s[0])))
 
 
+def test_loose_addresses_are_proposed_whole():
+    """Parts of any length; a long name is proposed from where it starts."""
+    name, domain = "a.b" * 60, "sub-domain" * 12
+    for text in (f"{name} [at] {domain} (dot) example.org", f"{name} at {domain} dot {'x dot ' * 9}org",
+                 f"{name}(at){'p.' * 20}org"):
+        assert ("email", 4, 4 + len(text)) in pii.candidates(f"see {text} now")
+    start = time.perf_counter()
+    assert pii.candidates("a." * 200_000 + " at " + "b" * 200_000 + " [at] ") == []
+    assert time.perf_counter() - start < 5
+
+
 def test_base_rules_against_plain_ones():
     rng = random.Random(2)
     for _ in range(20_000):
@@ -229,6 +242,34 @@ def test_long_tokens_are_scored(spark, awkward):
     ]
 
 
+def test_keys_of_one_case_and_joined_tokens(spark, awkward):
+    """Keys that no maker of the module wrote: digests in base 32, in either case."""
+    grammar = secretscan.fit(awkward)
+    keys = [base64.b32encode(hashlib.sha256(str(i).encode()).digest()).decode() for i in range(300)]
+    upper = [re.sub("[^A-Z]", "", k)[:28] for k in keys]
+    for tokens, least in ((upper, 0.95), ([k.lower() for k in upper], 0.85), (keys, 0.95)):
+        assert np.mean([grammar.score(t) >= grammar.cut for t in tokens]) >= least
+    words = ("internationalization", "Verantwortungsbereich", "counterrevolutionary", "Anticonstitutionnellement",
+             "well-known-international-standards", "RESPONSIBILITIES-AND-OBLIGATIONS")
+    assert sum(grammar.score(w) >= grammar.cut for w in words) <= 1
+    signed = ".".join(base64.urlsafe_b64encode(hashlib.sha512(bytes([i])).digest()).decode().rstrip("=") for i in range(3))
+    assert secretscan.candidates(f"see {signed}. Then") == [("grammar", 4, 4 + len(signed))]
+    assert secretscan.candidates("xz" * 7 + "." + "yz" * 8) == [("grammar", 15, 31)]
+    assert secretscan.candidates("=" * 300 + " " + "x" * 300) == []
+
+
+def test_long_ordinary_tokens_are_learned_whole(spark):
+    """A corpus whose ordinary tokens are long teaches them; the letters of the sample are bounded."""
+    rng = random.Random(4)
+    paths = ["/".join(rng.choice(("alpha", "beta", "gamma", "delta")) for _ in range(400)) for _ in range(60)]
+    docs = frame(spark, [(i, f"see {p} there") for i, p in enumerate(paths)])
+    grammar = secretscan.fit(docs)
+    assert sum(r.n_grammar for r in secretscan.find(docs, grammar).collect()) == 0
+    assert secretscan.fit(docs, sample_letters=100).cut >= 0
+    tree = secretscan.infer(map(secretscan.shape, paths), states=50)
+    assert len(tree.step) <= 50
+
+
 def test_inference_merges_a_loop():
     automaton = secretscan.infer(["ab" * n + secretscan.END for n in range(1, 40)])
     assert len(automaton.step) < 10

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from trialspark.llm.boosting import threshold
 from trialspark.llm.common import map_batches, ship
@@ -33,12 +33,25 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]++")
 LONG_HEX = re.compile(r"[0-9a-f]{32}")
-# Candidates: unbroken tokens of any length with a digit or a change of case in them. A run is
-# taken whole and never given back, so time is in proportion to the text.
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+")
-MIXED = re.compile(r"[0-9]|[a-z][A-Z]")
+# Candidates: unbroken tokens of any length, and such tokens joined by single dots, but no rules
+# of one repeated character. A run is taken whole and never given back, so time is in proportion
+# to the text.
+TOKEN = re.compile(
+    r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+(?:\.[A-Za-z0-9+/_=-]{16,}+)*+"
+)
+ONE = re.compile(r"(.)\1*+")
 END = "\0"
-TAUGHT = 512  # letters of a token of the corpus that automata learn from; all are scored
+VOWELS, RARE = "aeiouy", "jkqvwxz"
+# Letters by case and by how words use them, so that chance letters differ from words.
+CLASS = {
+    **dict.fromkeys("0123456789", "0"),
+    **{c: "a" if c in VOWELS else "q" if c in RARE else "b" for c in "abcdefghijklmnopqrstuvwxyz"},
+    **{c: "A" if c.lower() in VOWELS else "Q" if c.lower() in RARE else "B"
+       for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"},
+}
+CLASSES = str.maketrans(CLASS)
+WIDTH = {symbol: math.log(list(CLASS.values()).count(symbol)) for symbol in CLASS.values()}
+FIXED = 6  # letters at the beginning that stand for themselves
 
 
 def base_spans(text: str) -> list[Span]:
@@ -61,21 +74,17 @@ def base_spans(text: str) -> list[Span]:
 
 def candidates(text: str) -> list[Span]:
     return [
-        ("grammar", m.start(), m.end()) for m in TOKEN.finditer(text) if MIXED.search(m[0])
+        ("grammar", m.start(), m.end()) for m in TOKEN.finditer(text) if ONE.fullmatch(m[0]) is None
     ]
 
 
-def shape(token: str) -> str:
+def shape(token: str, fixed: int = FIXED) -> str:
     """The token in symbols of the grammar.
 
-    The first 6 letters stand for themselves, so that fixed beginnings are learned; later ones
-    become classes: upper case, lower case, digit, or the mark itself.
+    The first ``fixed`` letters stand for themselves, so that fixed beginnings are learned; later
+    ones become classes: vowel, rare or other letter of either case, digit, or the mark itself.
     """
-    tail = "".join(
-        "A" if "A" <= c <= "Z" else "a" if "a" <= c <= "z" else "0" if "0" <= c <= "9" else c
-        for c in token[6:]
-    )
-    return token[:6] + tail + END
+    return token[:fixed] + token[fixed:].translate(CLASSES) + END
 
 
 @dataclass
@@ -101,18 +110,23 @@ class Automaton:
         return total / len(symbols)
 
 
-def infer(examples: Iterable[str], alpha: float = 0.05, alphabet: int = 72) -> Automaton:
+def infer(
+    examples: Iterable[str], alpha: float = 0.05, alphabet: int = 72, states: int = 200_000
+) -> Automaton:
     """Merge the states of the examples' prefix tree whose frequencies are alike.
 
     Two states are alike if for every symbol the shares differ by less than the Hoeffding bound
     at level ``alpha``, and so are their successors. Settled states are compared in the order
-    in which they were settled, and the state with the least prefix is tried next.
+    in which they were settled, and the state with the least prefix is tried next. The tree
+    stops growing at ``states`` states, about 100 MB; an example is counted as far as it goes.
     """
     next_: list[dict[str, int]] = [{}]
     count: list[dict[str, int]] = [{}]
     for word in examples:
         state = 0
         for symbol in word:
+            if symbol not in next_[state] and len(next_) >= states:
+                break
             count[state][symbol] = count[state].get(symbol, 0) + 1
             if symbol not in next_[state]:
                 next_[state][symbol] = len(next_)
@@ -188,12 +202,16 @@ def written_credentials(per_kind: int = 150, seed: int = 11) -> dict[str, list[s
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(2, 5)))
     makers = {
         "assign": lambda: some(mixed, rng.randint(20, 40)),
+        "upper": lambda: some(upper, rng.randint(20, 40)),
+        "lower": lambda: some(lower, rng.randint(20, 40)),
         "access": lambda: "AKIA" + some(upper + digit, 16),
         "hosted": lambda: rng.choice(("ghp_", "gho_", "ghs_")) + some(mixed, 36),
         "chat": lambda: rng.choice(("xoxb-", "xoxp-")) + some(digit, 12) + "-" + some(mixed, 24),
         "payment": lambda: rng.choice(("sk_live_", "rk_live_")) + some(mixed, 24),
         "cloud": lambda: "AIza" + some(mixed + "-_", 35),
-        "signed": lambda: "eyJhbG" + some(mixed, rng.randint(30, 60)),
+        "signed": lambda: "eyJhbG" + some(mixed, rng.randint(30, 60)) + rng.choice((
+            "", ".eyJ" + some(mixed, rng.randint(30, 60)) + "." + some(mixed + "-_", 43),
+        )),
         "plain": lambda: rng.choice((
             lambda: "-".join(word() for _ in range(rng.randint(3, 5))),
             lambda: "_".join(word() for _ in range(3)) + some(digit, rng.randint(1, 3)),
@@ -203,6 +221,10 @@ def written_credentials(per_kind: int = 150, seed: int = 11) -> dict[str, list[s
             lambda: some(digit, rng.randint(16, 24)),
             lambda: (word() + word() + word() + word()).upper() + some(digit, 2),
             lambda: "-" * rng.randint(16, 40) + some(digit, 1),
+            lambda: "".join(word() for _ in range(rng.randint(3, 6))),
+            lambda: "".join(word() for _ in range(rng.randint(3, 6))).upper(),
+            lambda: "".join(word() for _ in range(rng.randint(3, 6))).capitalize(),
+            lambda: rng.choice("-_/").join(word() for _ in range(rng.randint(4, 60))),
         ))(),
     }
     return {kind: [make() for _ in range(per_kind * (6 if kind == "plain" else 1))] for kind, make in makers.items()}
@@ -210,16 +232,24 @@ def written_credentials(per_kind: int = 150, seed: int = 11) -> dict[str, list[s
 
 @dataclass
 class Grammar:
-    """One automaton per kind of credential, one of ordinary tokens, and the decision cut."""
+    """One automaton per kind of credential, two of ordinary tokens, and the decision cut.
+
+    ``plain`` knows the beginnings of ordinary tokens, ``loose`` only their classes, so that a
+    word with a new beginning is still a word.
+    """
 
     kinds: dict[str, Automaton]
     plain: Automaton
+    loose: Automaton
     cut: float = 0.0
 
     def score(self, token: str) -> float:
         """Mean log likelihood ratio of a symbol, best credential against ordinary token."""
-        symbols = shape(token)
-        return max(a.score(symbols) for a in self.kinds.values()) - self.plain.score(symbols)
+        symbols, classes = shape(token), shape(token, 0)
+        # a letter of a class is as likely as the class over its number of letters
+        widths = sum(WIDTH.get(c, 0.0) for c in classes[:FIXED]) / len(classes)
+        ordinary = max(self.plain.score(symbols), self.loose.score(classes) - widths)
+        return max(a.score(symbols) for a in self.kinds.values()) - ordinary
 
 
 def value(text: str, span: Span) -> str:
@@ -230,15 +260,18 @@ def value(text: str, span: Span) -> str:
 
 def fit(
     docs: DataFrame, sample_docs: int = 4000, sample_tokens: int = 10_000,
-    precision: float = 0.98, text: str = "text", key: str = "doc_id",
+    sample_letters: int = 4_000_000, precision: float = 0.99, text: str = "text",
+    key: str = "doc_id",
 ) -> Grammar:
     """Infer the automata.
 
     Labelled credentials are the base spans found in about ``sample_docs`` documents, chosen by
     a hash, and rule-made ones of public formats; ordinary tokens are the other candidates of
     those documents and rule-made look-alikes. At most ``sample_tokens`` tokens of the documents
-    are used, credentials by their first ``TAUGHT`` letters and ordinary tokens of at most so
-    many. A third of all is held out and gives the lowest cut that reaches ``precision``.
+    are used, in the order of a hash until they hold ``sample_letters`` letters; what is longer
+    than that alone is taken as far. Tokens of any length are learned from, an automaton's tree
+    being bounded (``infer``). A third of all is held out and gives the lowest cut that reaches
+    ``precision``, from whole tokens.
     """
     ship(docs.sparkSession)
     rows = docs.where(F.col(text).isNotNull()).select(key, text)
@@ -251,19 +284,23 @@ def fit(
             for t in batch.column(1).to_pylist():
                 base = base_spans(t)
                 cover = Cover(base)
-                out += [(span[0], value(t, span)[:TAUGHT]) for span in base]
+                out += [(span[0], value(t, span)) for span in base]
                 out += [
-                    ("plain", t[s[1] : s[2]]) for s in candidates(t)
-                    if s[2] - s[1] <= TAUGHT and not cover.meets(s)
+                    ("plain", t[s[1] : s[2]]) for s in candidates(t) if not cover.meets(s)
                 ]
             yield pa.RecordBatch.from_pydict({
                 "kind": pa.array([k for k, _ in out], pa.string()),
                 "token": pa.array([t for _, t in out], pa.string()),
             })
 
+    order = (F.xxhash64("token"), F.col("token"), F.col("kind"))
+    so_far = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     sample = (
         rows.where(spread < share).mapInArrow(extract, "kind string, token string")
-        .distinct().orderBy(F.xxhash64("token"), "token", "kind").limit(sample_tokens).toArrow()
+        .distinct().orderBy(*order).limit(sample_tokens)
+        .withColumn("before", F.coalesce(F.sum(F.length("token")).over(so_far), F.lit(0)))
+        .where(F.col("before") < sample_letters)
+        .select("kind", F.substring("token", 1, sample_letters).alias("token")).toArrow()
     )
     labelled = written_credentials()
     for kind, token in zip(sample["kind"].to_pylist(), sample["token"].to_pylist()):
@@ -278,7 +315,8 @@ def fit(
         held += [(t, float(kind != "plain")) for t in tokens[:third]]
         taught[kind] = tokens[third:]
     automata = {kind: infer(map(shape, tokens)) for kind, tokens in taught.items()}
-    grammar = Grammar({k: a for k, a in automata.items() if k != "plain"}, automata["plain"])
+    plain = automata.pop("plain")
+    grammar = Grammar(automata, plain, infer(shape(t, 0) for t in taught["plain"]))
     scores = np.array([grammar.score(t) for t, _ in held])
     grammar.cut = max(0.0, threshold(scores, np.array([y for _, y in held]), precision))
     return grammar
