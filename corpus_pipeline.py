@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trialspark.llm import langid, linededup, neardup, packing, pii
 from trialspark.llm.queries import held_out, vocabulary
-from trialspark.session import shared_folder
+from trialspark.operators.joins import drop_in, keep_in
+from trialspark.session import settle, shared_folder
 
 LEAST_SCORE = 0.5
 
@@ -52,15 +53,29 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id.
 
-    Five-word shingles and a similarity of 0.8 or more. Of several texts under one id all stay
-    or none; all stay if one is kept.
+    Five-word shingles and a similarity of 0.8 or more. A document is an id with a text, so texts
+    that share an id are compared like any others. A document without an id takes part and comes
+    after all that have one. Of rows with the same id and text one stays, the least when written
+    as JSON.
     """
-    found = neardup.near_duplicates(docs, neardup.Plan(words=5, percent=80))
-    gone = (
-        found.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"))
-        .where("not kept").select(F.col("doc_id").alias("gone"))
+    name = linededup.fresh("place", docs.columns)
+    # Text that sorts as the ids do, missing ones last.
+    unsigned = F.col("doc_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")
+    place = F.concat_ws(
+        ":", F.coalesce(F.lpad(unsigned.cast("string"), 20, "0"), F.lit("~")),
+        F.hex(F.xxhash64("text")),
     )
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col("gone"), "left_anti")
+    placed = docs.withColumn(name, place)
+    found = neardup.near_duplicates(placed, neardup.Plan(words=5, percent=80), key=name)
+    marked = settle(
+        found.groupBy(name).agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
+        .where("not kept or rows > 1")
+    )
+    row = F.struct(*docs.columns)
+    repeated = keep_in(placed, marked.where("kept"), [name]).groupBy(name).agg(
+        F.min_by(row, F.to_json(row)).alias("row")
+    )
+    return drop_in(placed, marked, [name]).select(*docs.columns).union(repeated.select("row.*"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
