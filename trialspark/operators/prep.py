@@ -66,14 +66,18 @@ def excessive_breaks(breaks: DataFrame, max_ms: int = S.MAX_BREAK_MS) -> DataFra
     return breaks.where(F.col("duration") > max_ms)
 
 
+def training_drops(log: DataFrame, order: str = "row_id") -> DataFrame:
+    """The drops of training trials."""
+    return log.where(
+        F.col("condition").contains("trial_train") & (F.col("parameter") == "Drop")
+    ).select(*LEARNER_KEYS, "condition", "sentence", "order", order)
+
+
 def training_tries(
     log: DataFrame, order: str = "row_id", only_reversed: bool = False
 ) -> DataFrame:
     """Number of drops in each training trial; a trial is a run of equal ``order`` values."""
-    drops = log.where(
-        F.col("condition").contains("trial_train") & (F.col("parameter") == "Drop")
-    ).select(*LEARNER_KEYS, "condition", "sentence", "order", order)
-    runs = run_id(drops, "order", RUN_KEYS, order)
+    runs = run_id(training_drops(log, order), "order", RUN_KEYS, order)
     if only_reversed:
         runs = runs.where(F.col("sentence").rlike(r"(?s)\[obj\].*\[subj\]"))
     return runs.groupBy(*LEARNER_KEYS, "condition", "run").agg(
@@ -92,13 +96,19 @@ def session_accuracy(
 
     The fewest tries are those of the subject, so a session without such a trial has no row.
     """
+    return accuracy_of_tries(training_tries(log, order, only_reversed), first, block, only_reversed)
+
+
+def accuracy_of_tries(
+    tries: DataFrame, first: int = 21, block: int = 15, only_reversed: bool = False
+) -> DataFrame:
+    """``session_accuracy`` from the number of drops in each training trial."""
     session = F.when(F.col("run") <= first, 1).otherwise(
         F.ceil((F.col("run") - first) / block) + 1
     )
     keys = [*LEARNER_KEYS, "session_no"]
     counts = settle(
-        training_tries(log, order, only_reversed)
-        .groupBy(*LEARNER_KEYS, session.cast("bigint").alias("session_no"), "n_tries")
+        tries.groupBy(*LEARNER_KEYS, session.cast("bigint").alias("session_no"), "n_tries")
         .agg(F.count(F.lit(1)).alias("count"))
     )
     # A session holds at most `block` trials, so this window is small for every key.

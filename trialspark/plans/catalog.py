@@ -11,7 +11,7 @@ from trialspark import schemas as S
 from trialspark.functions import stats, text
 from trialspark.functions.nulls import in_set
 from trialspark.operators import (
-    contrasts, draws, exclude, fit, metrics, ordered, prep, schedule as sessions,
+    contrasts, draws, exclude, fit, metrics, ordered, prep, schedule as sessions, upkeep,
 )
 from trialspark.operators.joins import lookup
 from trialspark.plans import adapters as A
@@ -483,6 +483,23 @@ def exclusion_reasons(spark, sf_dir):
     return excluded(spark, sf_dir)
 
 
+@query
+def exclusions_kept_up(spark, sf_dir):
+    """The logs arrive in three parts, each with its own pass; the states are merged."""
+    trials, training, breaks = (
+        make(spark, sf_dir) for make in (A.trials, A.training_log, A.break_log)
+    )
+    least, most = training.agg(F.min("row_id"), F.max("row_id")).first()
+    path, width = scratch(spark), ((most or 0) - (least or 0)) // 3 + 1
+    for part in range(3):
+        own = F.floor((F.col("row_id") - (least or 0)) / width) == part
+        upkeep.keep_part(
+            path, part, trials.where(F.pmod(F.xxhash64("item"), F.lit(3)) == part),
+            training.where(own), breaks.where(own),
+        )
+    return upkeep.current_exclusions(spark, path)
+
+
 @query
 def drop_excluded(spark, sf_dir):
     trials = A.trials(spark, sf_dir)

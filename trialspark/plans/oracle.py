@@ -796,6 +796,9 @@ def statement(name: str) -> str:
 # The online criterion is the same table.
 SELECTS["training_gate_online"] = SELECTS["training_gate"]
 
+# Parts of the logs give the same exclusions as the whole.
+SELECTS["exclusions_kept_up"] = SELECTS["exclusion_reasons"]
+
 
 def statements() -> dict[str, str]:
     return {name: statement(name) for name in SELECTS}
