@@ -173,6 +173,25 @@ def test_loose_formats_are_found_where_they_are_common(spark):
     assert pii.corpus_examples(text)[1].count(0.0) == 1
 
 
+def test_selection_is_learned_from_every_text(spark):
+    """More texts than a sample of thousands, and few or many examples give the same trees."""
+    rows = [(i, f"please call +49 {i % 97:02} {i:04} {i * 7 % 9973:04} for the tour today") for i in range(9000)]
+    rows += [(9000 + i, f"your order {i:03}-123-4567 is on its way") for i in range(400)] + [(None, None)]
+    docs = frame(spark, rows)
+    right = wrong = 0
+    for _, text in rows[:-1]:
+        if zlib.crc32(text.encode()) % 3:
+            labels = pii.corpus_examples(text)[1]
+            right, wrong = right + labels.count(1.0), wrong + labels.count(0.0)
+    made = pii.written_examples()[1][np.random.default_rng(3).permutation(len(pii.written_examples()[1])) % 3 != 0]
+    share = (right + made.sum()) / (right + wrong + len(made))
+    here, there = pii.fit(docs, trees=2), pii.fit(docs, trees=2, most_local=100)
+    assert right > 5000 and abs(here.model.start - np.log(share / (1 - share))) < 1e-9
+    assert here.cuts == there.cuts and abs(here.model.slope - there.model.slope) < 1e-6
+    for a, b in zip(here.model.grown, there.model.grown, strict=True):
+        assert all(np.array_equal(u, v) for u, v in zip(a, b, strict=True))
+
+
 def plain_personal(text):
     found = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):

@@ -9,15 +9,16 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator, Sequence
+import zlib
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from trialspark.llm.boosting import Boosted, threshold
-from trialspark.llm.common import extend_batches, map_batches, ship
+from trialspark.llm.boosting import Boosted, Part, quantile_edges, threshold, total_of
+from trialspark.llm.common import extend_batches, map_batches, settle
 from trialspark.llm.spans import Cover, Span, as_string, digest, in_order, replace
 
 KINDS = ("email", "ip", "card", "phone")
@@ -259,52 +260,78 @@ class Selector:
     cuts: dict[str, float]
 
 
+# Cuts are multiples of one part in so many.
+GRID = 4096
+# So many different examples are learned from in the driver; more stay on the executors.
+LOCAL_EXAMPLES = 100_000
+
+
+def examples(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Different labelled candidates of all texts and of the rules, with how often each occurs.
+
+    ``held`` marks those held out: those of a third of the texts by their hash, so that copies stay
+    together, and a third of the rule-made ones.
+    """
+
+    def start():
+        def work(texts):
+            out = {"x": [], "y": [], "held": []}
+            for t in texts:
+                rows, labels = corpus_examples(t)
+                if rows:
+                    out["x"] += rows
+                    out["y"] += labels
+                    out["held"] += [zlib.crc32(t.encode()) % 3 == 0] * len(rows)
+            return out
+
+        return work
+
+    schema = "x array<float>, y double, held boolean"
+    found = map_batches(docs.where(F.col(text).isNotNull()), [text], schema, start)
+    x, y = written_examples()
+    written = docs.sparkSession.createDataFrame(pa.table({
+        "x": pa.array(list(x), pa.list_(pa.float32())), "y": y,
+        "held": np.random.default_rng(3).permutation(len(y)) % 3 == 0,
+    }), schema)
+    return found.union(written).groupBy("x", "y", "held").agg(F.count("*").alias("n"))
+
+
 def fit(
-    docs: DataFrame, sample_docs: int = 4000, sample_spans: int = 20_000,
-    precision: float = 0.98, text: str = "text", key: str = "doc_id",
+    docs: DataFrame, precision: float = 0.98, text: str = "text", trees: int = 60,
+    most_local: int = LOCAL_EXAMPLES,
 ) -> Selector:
     """Learn to select candidates.
 
-    Learns from rule-made examples and from those that ``corpus_examples`` finds in about
-    ``sample_docs`` documents, at most ``sample_spans`` of them, chosen by a hash.
-    One third of all is held out for calibration
-    and for the thresholds, each the lowest that reaches ``precision``; a kind with fewer than
-    20 held-out rows uses the threshold over all kinds. Nothing is learned from missing texts.
+    Learns from rule-made examples and from all that ``corpus_examples`` finds in whole ``docs``.
+    One third is held out for calibration and for the cuts, each the lowest multiple of
+    1 / ``GRID`` that reaches ``precision``; a kind with fewer than 20 held-out examples uses the
+    cut over all kinds. Nothing is learned from missing texts. Up to ``most_local`` different
+    examples are learned from in the driver, more by sums over the executors, with the same trees.
     """
-    ship(docs.sparkSession)
     width = len(features("", ("email", 0, 0)))
-    rows = docs.where(F.col(text).isNotNull()).select(key, text)
-    share = min(1.0, sample_docs / max(1, rows.count()))
-    spread = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, labels = [], []
-            for t in batch.column(1).to_pylist():
-                own, right = corpus_examples(t)
-                rows += own
-                labels += right
-            yield pa.RecordBatch.from_pydict({
-                "x": pa.array(rows, pa.list_(pa.float32())), "y": pa.array(labels, pa.float64()),
-            })
-
-    sample = (
-        rows.where(spread < share).mapInArrow(extract, "x array<float>, y double")
-        .orderBy(F.xxhash64("x"), "y").limit(sample_spans).toArrow()
-    )
-    x, y = written_examples()
-    if sample.num_rows:
-        seen = np.array(sample["x"].to_pylist(), "f4").reshape(-1, width)
-        x, y = np.concatenate([x, seen]), np.concatenate([y, sample["y"].to_numpy()])
-    held = np.random.default_rng(3).permutation(len(y)) % 3 == 0
-    model = Boosted().fit(x[~held], y[~held]).calibrate(x[held], y[held])
-    p, x, y = model.probability(x[held]), x[held], y[held]
-    overall = threshold(p, y, precision)
-    cuts = {}
-    for i, kind in enumerate(KINDS):
-        own = x[:, i] == 1
-        cuts[kind] = max(0.5, threshold(p[own], y[own], precision) if own.sum() >= 20 else overall)
-    return Selector(model, cuts)
+    every = settle(examples(docs, text))
+    taught, held = every.where("not held"), every.where("held")
+    model = Boosted(trees=trees)
+    model.fit(total_of(taught, width, most_local), quantile_edges(taught, width, model.bins))
+    held_total = total_of(held, width, most_local)
+    model.calibrate(held_total)
+
+    def tally(part: Part) -> np.ndarray:
+        at = (model.certain(part.raw(model)) * GRID).astype(int)
+        return np.concatenate([
+            np.bincount(at[own], w[own], GRID + 1)
+            for own in (part.x[:, i] == 1 for i in range(len(KINDS))) for w in (part.n, part.n * part.y)
+        ])
+
+    def cut(n: np.ndarray, right: np.ndarray) -> float:
+        some = n > 0
+        return threshold((np.arange(GRID + 1) / GRID)[some], right[some], precision, n[some])
+
+    counts = held_total(tally).reshape(len(KINDS), 2, GRID + 1)
+    overall = cut(*counts.sum(0))
+    return Selector(model, {
+        kind: max(0.5, cut(*own)) if own[0].sum() >= 20 else overall for kind, own in zip(KINDS, counts)
+    })
 
 
 def select(texts: Sequence[str], selector: Selector) -> list[tuple[list[Span], list[Span]]]:

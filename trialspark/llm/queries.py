@@ -41,7 +41,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return pii.find(docs, pii.fit(docs, sample_docs=4000, sample_spans=20_000))
+    return pii.find(docs, pii.fit(docs))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
