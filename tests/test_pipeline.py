@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialspark import schemas as S
-from trialspark.operators import contrasts, draws, exclude, fit, metrics, prep
+from trialspark.operators import contrasts, draws, exclude, fit, joins, metrics, prep
 
 ACTIVE, PASSIVE = S.ACTIVE, S.PASSIVE
 SUBJ, OBJ = S.SUBJECT_TARGET, S.OBJECT_TARGET
@@ -304,6 +304,73 @@ def test_normalise_scores(spark):
     assert {r["args_group"] for r in merged.collect()} >= {"buildings+vehicles args", "eat args"}
 
 
+ITEM_ROWS = (
+    "item bigint, condition string, word string, args_group string, sentence_type string,"
+    " adverb string"
+)
+
+
+@pytest.fixture
+def large_tables(spark, monkeypatch):
+    """Every table counts as too large to broadcast, and shuffled parts are not merged."""
+    monkeypatch.setattr(joins, "value_bytes", lambda table: 1 << 40)
+    changes = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {key: spark.conf.get(key, None) for key in changes}
+    for key, value in changes.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_rows_that_no_item_can_match_stay_where_they_are(spark, large_tables):
+    """Rows of one group and type are not gathered in one task to find that none matches."""
+    items = spark.createDataFrame(
+        [(1, "experimental", "a", "buildings", "t", "often"), (2, "filler", "b", "eat", "t", "often"),
+         (3, "filler", "c", "eat", "t", "often"), (None, "filler", "c", None, "t", "often")], ITEM_ROWS)
+    rows = spark.range(8000, numPartitions=8).select(
+        "id", F.lit("experimental").alias("condition"), F.lit("a").alias("word"), F.lit("buildings").alias("args_group"),
+        F.lit("t").alias("sentence_type"), F.lit("often").alias("adverb"), F.lit(1).cast("bigint").alias("item"),
+    )
+    other = spark.createDataFrame(
+        [(8001, "filler", "z", "eat", "t", "often", None), (8002, "filler", None, None, "t", None, None),
+         (8003, None, None, "eat", "t", None, None), (8004, "filler", "z", "eat", "t", "often", 9)],
+        ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
+    found = prep.resolve_item(rows.union(other), items)
+    most = found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most <= 1100
+    assert found.columns == rows.columns and found.where("id < 8000 and item = 1").count() == 8000
+    got = sorted(((r.id, r.item) for r in found.where("id > 8000").collect()), key=str)
+    assert got == [(8001, 2), (8001, 3), (8002, None), (8003, None), (8004, 9), (8004, 9)]
+    unknown = prep.attach_item_ids(other.drop("item"), items)
+    assert unknown.columns[-1] == "item" and unknown.where("item is null").count() == 4
+
+
+def test_a_score_passes_one_large_join(spark, large_tables):
+    """Scores are shuffled to the items of their own condition only, with the same result."""
+    items = spark.createDataFrame(
+        [(3, "experimental", "pearl", "buildings_vehicles", "perfect transitive", "always"),
+         (121, "filler", "pizza", "eat", "perfect transitive", "often")], ITEM_ROWS)
+    eating = {"eval_data": "syn_eat_ext_for_human_exp", "token_type": "eval special"}
+    df = scores(spark, {}, {"odds_ratio": -1.0, "random_seed": 50}, eating, {"token_type": "eval added"})
+    found = prep.normalise_scores(df, items, last_human=9)
+    assert sorted((r.subject, r.item, r.condition, r.response) for r in found.collect()) == [
+        (10, "121", "filler", "[subj]"), (10, "3", "experimental", "[subj]"), (11, "3", "experimental", "[obj]"),
+    ]
+    depth, above = 0, []
+    for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines():
+        at = len(line) - len(line.lstrip(" :+-"))
+        above = [a for a in above if a < at]
+        if line.lstrip(" :+-").startswith("Join"):
+            above.append(at)
+            depth = max(depth, len(above))
+    assert depth == 2  # the subjects' ids, and one table of items
+
+
 def test_cossims(spark):
     df = spark.createDataFrame(
         [("m", "BLORKED", "all_but_the_top", 0, "convergence", 0.2),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from trialspark import schemas as S
 from trialspark.functions import text
 from trialspark.functions.nulls import in_set, truth
-from trialspark.operators.joins import keep_in, lookup
+from trialspark.operators.joins import keep_in, lookup, lookup_some
 from trialspark.operators.ordered import first_seen, first_seen_id, pair_number, run_id
 from trialspark.session import settle
 
@@ -292,7 +292,9 @@ def attach_item_ids(scores: DataFrame, items: DataFrame) -> DataFrame:
     """
     experimental = items.where(F.col("condition") == "experimental").drop("args_group")
     on = ["condition", "word", "sentence_type", "adverb"]
-    return lookup(scores, experimental, on, settled=True)
+    return lookup_some(
+        scores, experimental, on, F.col("condition") == "experimental", settled=True
+    )
 
 
 def resolve_item(scores: DataFrame, items: DataFrame) -> DataFrame:
@@ -302,7 +304,7 @@ def resolve_item(scores: DataFrame, items: DataFrame) -> DataFrame:
         .select("condition", "args_group", "sentence_type", F.col("item").alias("_filler_item"))
     )
     on = ["condition", "args_group", "sentence_type"]
-    joined = lookup(scores, fillers, on, settled=True)
+    joined = lookup_some(scores, fillers, on, F.col("condition") == "filler")
     return joined.withColumn("item", F.coalesce("item", "_filler_item")).drop("_filler_item")
 
 
