@@ -329,6 +329,11 @@ def score_rows(scores: DataFrame) -> DataFrame:
 
     Odds that are NaN are missing, as they are for files.
     """
+    return scores.transform(score_keys).transform(score_labels)
+
+
+def score_keys(scores: DataFrame) -> DataFrame:
+    """The columns by which ids are attached, and those that replace the odds."""
     scores = scores.withColumns({
         name: F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))
         for name in ("odds_ratio", "odds_ratio_pre_post_difference")
@@ -343,37 +348,44 @@ def score_rows(scores: DataFrame) -> DataFrame:
         }
     ).where((F.col("condition") == "experimental") | (F.col("token_type") == "eval special"))
     swapped = F.coalesce(text.recode(F.col("word"), S.TOKEN_SWAPS), F.col("word"))
-    rows = rows.withColumns(
+    return rows.withColumns(
         {
             "word": F.when(
                 F.col("data_source").contains("ModernBERT") & (F.col("token_type") == "tuning"),
                 swapped,
             ).otherwise(F.col("word")),
-            "stop_at": F.when(F.col("max_epochs") == 5000, S.CONVERGENCE)
-            .otherwise(S.EARLY_STOP),
-            "mask_added_tokens": F.when(F.col("mask_added_tokens"), S.MASKED)
-            .when(~F.col("mask_added_tokens"), S.UNMASKED),
             "correct": F.col("odds_ratio") > 0,
             "correct_pre_training":
                 (F.col("odds_ratio") - F.col("odds_ratio_pre_post_difference")) > 0,
             "sentence": text.sentence_case(F.col("sentence")),
-            "training": F.lit(S.TRAINING_LABEL),
-            "seen_in_training": F.when(F.col("token_type") == "tuning", "True")
-            .when(F.col("token_type") == "eval added", "False"),
-            "mouse": F.lit(None).cast("string"),
             "response": F.when(F.col("odds_ratio") > 0, F.col("target_response"))
             .otherwise(text.alt_response(F.col("ratio_name"))),
-            "log_rt": F.lit(None).cast("double"),
+        }
+    ).withColumns(
+        {
+            "adverb": text.find_adverb(F.col("sentence")),
+            "args_group": F.when(F.col("condition") == "experimental", F.col("args_group"))
+            .otherwise(text.eval_group(F.col("eval_data"))),
         }
     )
+
+
+def score_labels(rows: DataFrame) -> DataFrame:
+    """The other columns of the trial table; best made after joins, which then move less."""
     reversed_order = F.col("sentence").rlike(r"(?s)\[obj\].*\[subj\].*blorked")
     return rows.withColumns(
         {
+            "stop_at": F.when(F.col("max_epochs") == 5000, S.CONVERGENCE)
+            .otherwise(S.EARLY_STOP),
+            "mask_added_tokens": F.when(F.col("mask_added_tokens"), S.MASKED)
+            .when(~F.col("mask_added_tokens"), S.UNMASKED),
+            "training": F.lit(S.TRAINING_LABEL),
+            "seen_in_training": F.when(F.col("token_type") == "tuning", "True")
+            .when(F.col("token_type") == "eval added", "False"),
+            "mouse": F.lit(None).cast("string"),
+            "log_rt": F.lit(None).cast("double"),
             "voice": F.when(F.col("sentence_type").contains("passive"), S.PASSIVE)
             .when(reversed_order, S.REVERSED).otherwise(S.ACTIVE),
-            "adverb": text.find_adverb(F.col("sentence")),
-            "args_group": F.when(F.col("condition") == "experimental", F.col("args_group"))
-            .otherwise(text.eval_group(F.col("eval_data"))),
         }
     )
 
@@ -382,9 +394,9 @@ def normalise_scores(
     scores: DataFrame, items: DataFrame, last_human: int, order: str = "row_id"
 ) -> DataFrame:
     """Model scores as trials of the items that people saw."""
-    numbered = score_rows(number_models(scores, last_human, order))
-    known = numbered.transform(attach_item_ids, items).transform(resolve_item, items)
-    return known.where(F.col("item").isNotNull()).select(
+    keyed = score_keys(number_models(scores, last_human, order))
+    known = keyed.transform(attach_item_ids, items).transform(resolve_item, items)
+    return known.where(F.col("item").isNotNull()).transform(score_labels).select(
         *(F.col(f.name).cast(f.dataType).alias(f.name) for f in S.TRIALS)
     )
 
