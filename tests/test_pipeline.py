@@ -327,6 +327,18 @@ def large_tables(spark, monkeypatch):
         spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+def join_depth(df):
+    """Most joins that a row passes, one after the other."""
+    depth, above = 0, []
+    for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines():
+        at = len(line) - len(line.lstrip(" :+-"))
+        above = [a for a in above if a < at]
+        if line.lstrip(" :+-").startswith("Join"):
+            above.append(at)
+            depth = max(depth, len(above))
+    return depth
+
+
 def test_rows_that_no_item_can_match_stay_where_they_are(spark, large_tables):
     """Rows of one group and type are not gathered in one task to find that none matches."""
     items = spark.createDataFrame(
@@ -361,14 +373,18 @@ def test_a_score_passes_one_large_join(spark, large_tables):
     assert sorted((r.subject, r.item, r.condition, r.response) for r in found.collect()) == [
         (10, "121", "filler", "[subj]"), (10, "3", "experimental", "[subj]"), (11, "3", "experimental", "[obj]"),
     ]
-    depth, above = 0, []
-    for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines():
-        at = len(line) - len(line.lstrip(" :+-"))
-        above = [a for a in above if a < at]
-        if line.lstrip(" :+-").startswith("Join"):
-            above.append(at)
-            depth = max(depth, len(above))
-    assert depth == 2  # the subjects' ids, and one table of items
+    assert join_depth(found) == 2  # the subjects' ids, and one table of items
+
+
+def test_a_merged_score_passes_one_large_join(spark, large_tables):
+    items = spark.createDataFrame(
+        [(3, "experimental", "pearl", "buildings_vehicles", "perfect transitive", "always")], ITEM_ROWS)
+    people = table(spark, trial(target="[obj]")).drop("training", "model_id")
+    merged = prep.merge_sources(people, prep.normalise_scores(scores(spark, {}, {"random_seed": 50}), items, 9))
+    assert sorted((r.subject, r.item, r.data_source) for r in merged.collect()) == [
+        (1, "1", "human"), (10, "3", "ModernBERT Base"), (11, "3", "ModernBERT Base")
+    ]
+    assert join_depth(merged) == 2
 
 
 def test_cossims(spark):
