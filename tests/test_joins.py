@@ -1,6 +1,7 @@
 """Lookup joins give the same rows whether they broadcast or shuffle."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from trialspark.operators import joins
 from trialspark.session import shared_folder
@@ -52,3 +53,23 @@ def test_membership(rows, table, max_bytes):
 def test_shared_folder_is_kept(spark):
     assert shared_folder(spark) == shared_folder(spark)
     assert spark.sparkContext.getCheckpointDir() == shared_folder(spark)
+
+
+def test_fold_and_unfold(spark):
+    rows = [(1, "a", None), (2, None, "a"), (3, "a", "a"), (4, None, None), (5, "a", None), (None, "b", "a")]
+    df = spark.createDataFrame(rows, "id int, x string, y string")
+    folded, tables = joins.fold(df, {"_n": ["x", "y"]})
+    assert folded.columns == ["id", "_n"] and tables["_n"].count() == 5
+    assert folded.select("_n").distinct().count() == 5
+    back = joins.unfold(folded, tables)
+    assert back.columns == ["id", "x", "y"] and sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+
+
+def test_many_combinations_are_not_folded(spark):
+    df = spark.range(3000).select("id", F.col("id").cast("string").alias("x"), F.lit("c").alias("y"))
+    folded, tables = joins.fold(df, {"_x": ["x"], "_y": ["y"]}, max_bytes=1 << 13)
+    assert set(folded.columns) == {"id", "x", "_y"} and list(tables) == ["_y"]
+    back = joins.unfold(folded, tables)
+    assert sorted(map(tuple, back.select(*df.columns).collect())) == sorted(map(tuple, df.collect()))
+    long = spark.range(4).select(F.repeat(F.col("id").cast("string"), 9000).alias("x"))
+    assert joins.fold(long, {"_x": ["x"]}, max_bytes=1 << 13)[1] == {}

@@ -387,6 +387,40 @@ def test_a_merged_score_passes_one_large_join(spark, large_tables):
     assert join_depth(merged) == 2
 
 
+def joined_columns(df, key):
+    """Columns of the rows that sort-merge joins on ``key`` take, one set a join."""
+    found, stack = [], [df._jdf.queryExecution().sparkPlan()]
+    while stack:
+        plan = stack.pop()
+        children = [plan.children().apply(i) for i in range(plan.children().size())]
+        if plan.nodeName() == "SortMergeJoin" and f"{key}#" in plan.leftKeys().mkString():
+            found.append({a.split("#")[0] for a in children[0].output().mkString("\n").split("\n")})
+        stack += children
+    return found
+
+
+def test_scores_are_shuffled_without_what_describes_models_and_sentences(spark, large_tables, monkeypatch):
+    items = spark.createDataFrame(
+        [(3, "experimental", "pearl", "buildings_vehicles", "perfect transitive", "always"),
+         (121, "filler", "pizza", "eat", "perfect transitive", "often")], ITEM_ROWS)
+    eating = {"eval_data": "syn_eat_ext_for_human_exp", "token_type": "eval special"}
+    df = scores(
+        spark, {}, {"odds_ratio": -1.0, "random_seed": 50, "model_id": None}, eating,
+        {"mask_added_tokens": None, "max_epochs": 260}, {"max_epochs": None, "arg_type": None}, {"token_type": None, "token": "pearl"},
+    )
+    people = table(spark, trial(target="[obj]")).drop("training", "model_id")
+    plain = prep.merge_sources(people, prep.normalise_scores(df, items, 9))  # no table is small: nothing is folded
+    expected = sorted(map(str, plain.collect()))
+    assert len(expected) == 7
+    monkeypatch.setattr(joins, "value_bytes", lambda table: 1 << 40 if {"item", "_filler_item"} & {*table.columns} else 0)
+    merged = prep.merge_sources(people, prep.normalise_scores(df, items, 9))
+    assert merged.columns == plain.columns and sorted(map(str, merged.collect())) == expected
+    moved = joined_columns(merged, "sentence_type")
+    assert len(moved) == 2
+    wide = {"model_id", "data_source", "max_epochs", "mask_added_tokens", "sentence", "token_type", "target_response", "response"}
+    assert not any(wide & columns for columns in moved)
+
+
 def test_cossims(spark):
     df = spark.createDataFrame(
         [("m", "BLORKED", "all_but_the_top", 0, "convergence", 0.2),

@@ -9,13 +9,20 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from trialspark import schemas as S
 from trialspark.functions import text
 from trialspark.functions.nulls import in_set, truth
-from trialspark.operators.joins import keep_in, lookup, lookup_some
+from trialspark.operators import joins
+from trialspark.operators.joins import fold, keep_in, lookup, lookup_some, unfold
 from trialspark.operators.ordered import first_seen, first_seen_id, pair_number, run_id
 from trialspark.session import settle
 
 RUN_KEYS = ["subject", "mask_added_tokens", "stop_at"]
 LEARNER_KEYS = ["subject", "data_source", "mask_added_tokens", "stop_at"]
 
+# Columns of scores that repeat over the items of a model, and over the models of a sentence.
+SCORE_GROUPS = {
+    "_run": ["model_id", "data_source", "max_epochs", "mask_added_tokens"],
+    "_template": ["sentence", "token_type", "target_response", "response"],
+}
+
 
 def tag_source(log: DataFrame, source: str = S.HUMAN) -> DataFrame:
     """Columns that people's rows need to share a table with model rows."""
@@ -393,10 +400,17 @@ def score_labels(rows: DataFrame) -> DataFrame:
 def normalise_scores(
     scores: DataFrame, items: DataFrame, last_human: int, order: str = "row_id"
 ) -> DataFrame:
-    """Model scores as trials of the items that people saw."""
-    keyed = score_keys(number_models(scores, last_human, order))
+    """Model scores as trials of the items that people saw.
+
+    Where the items are too many to broadcast, the scores are shuffled with numbers in place of the
+    columns that describe models and sentences.
+    """
+    keyed, folded = score_keys(number_models(scores, last_human, order)), {}
+    if joins.value_bytes(items) > joins.BROADCAST_BYTES:
+        keyed, folded = fold(keyed, SCORE_GROUPS)
     known = keyed.transform(attach_item_ids, items).transform(resolve_item, items)
-    return known.where(F.col("item").isNotNull()).transform(score_labels).select(
+    whole = unfold(known.where(F.col("item").isNotNull()), folded)
+    return whole.transform(score_labels).select(
         *(F.col(f.name).cast(f.dataType).alias(f.name) for f in S.TRIALS)
     )
 
